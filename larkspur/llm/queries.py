@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, records
+from . import jaccard, packing, records
 
 
 def vocabulary(name: str) -> str:
@@ -19,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(_table(spark, sf_dir, "documents")).drop("h")
+
+
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.token_records(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), "kept", 2)
 
@@ -28,7 +32,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_records, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_records, op8_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
