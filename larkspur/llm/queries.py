@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, packing, records
+from . import jaccard, packing, records, suffixes, vectors
 
 
 def vocabulary(name: str) -> str:
@@ -27,12 +27,20 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.token_records(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), "kept", 2)
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.cut_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), "dropped", 0)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_records, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_records, op3_embedding_near_dedup, op7_suffix_array_dedup, op8_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
