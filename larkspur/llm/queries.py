@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, packing, records, suffixes, vectors
+from . import html, jaccard, mixing, packing, quality, records, suffixes, vectors
 
 
 def vocabulary(name: str) -> str:
@@ -31,6 +31,18 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(_table(spark, sf_dir, "documents"))
+
+
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.cut_repeats(_table(spark, sf_dir, "documents"))
 
@@ -40,8 +52,8 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_records, op3_embedding_near_dedup, op7_suffix_array_dedup, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_records, op3_embedding_near_dedup, op4_quality_rules, op5_main_text, op6_source_mixing, op7_suffix_array_dedup, op8_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_quality_rules": quality.ORACLE_SQL, "op6_source_mixing": mixing.ORACLE_SQL}
