@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, jaccard, mixing, packing, quality, records, suffixes, vectors
+from . import html, jaccard, mixing, packing, quality, records, secrets, suffixes, vectors, warc
 
 
 def vocabulary(name: str) -> str:
@@ -51,8 +51,16 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), "dropped", 0)
 
 
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(_table(spark, sf_dir, "pages"))
+
+
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_records, op3_embedding_near_dedup, op4_quality_rules, op5_main_text, op6_source_mixing, op7_suffix_array_dedup, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_records, op3_embedding_near_dedup, op4_quality_rules, op5_main_text, op6_source_mixing, op7_suffix_array_dedup, op8_best_fit_packing, op9_warc_revisits, op10_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
