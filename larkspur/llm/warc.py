@@ -90,16 +90,16 @@ def resolved(pages: DataFrame, least: int = 0, page_id: str = "page_id", url: st
     of their payload if there is one, and are responses otherwise.
     """
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload")).withColumn("sha", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
-    heads = materialize(rows.select("page_id", "url", "sha", "size"), "heads").filter(F.col("size") >= least)
+    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload")).withColumn("sha", F.sha1("payload"))
+    heads = materialize(rows.select("page_id", "url", "sha", F.octet_length("payload").alias("size")), "heads").filter(F.col("size") >= least)
     first = heads.filter("page_id is not null").groupBy("sha").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count(F.lit(1)).alias("n"))
     # only digests that recur, or that rows without id have, have anything to resolve
     nameless = heads.filter("page_id is null").select("sha").distinct().withColumn("nameless", F.lit(True))
     first = first.join(nameless, "sha", "left").filter("n > 1 or nameless").select("sha", F.col("first.page_id").alias("to"), F.col("first.url").alias("to_url"))
-    revisits = heads.join(first, "sha").groupBy("page_id", "sha").agg(F.max("to").alias("to"), F.max("to_url").alias("to_url"))
-    on = rows["page_id"].eqNullSafe(revisits["page_id"]) & (rows["sha"] == revisits["sha"])
-    joined = rows.join(revisits, on, "left").select(rows["page_id"], "url", "payload", rows["sha"], F.col("to").alias("refers_to"), F.col("to_url").alias("refers_url"))
-    return joined
+    # one exchange of payloads, by a key that is never null, which the join and the writing share
+    key = F.coalesce(F.col("page_id"), F.lit(-(1 << 63))).alias("key")
+    revisits = heads.join(first, "sha").groupBy(key, "sha").agg(F.max("to").alias("refers_to"), F.max("to_url").alias("refers_url"))
+    return rows.select("*", key).repartition("key", "sha").join(revisits, ["key", "sha"], "left").select("page_id", "url", "payload", "sha", "refers_to", "refers_url", "key")
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = 0, **columns: str) -> list[str]:
@@ -135,7 +135,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, **columns: str
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["file"])
 
     rows = resolved(pages, least, **columns)
-    rows = rows.repartition("page_id", "sha").sortWithinPartitions("page_id", "sha", "url")
+    rows = rows.sortWithinPartitions("key", "sha", "url").drop("key")
     return sorted(r.file for r in rows.mapInArrow(write, "file string").collect())
 
 
