@@ -280,7 +280,9 @@ def chain_of(line: str, marks: list[tuple[int, int]]) -> tuple[np.ndarray, np.nd
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS, text: str = "text") -> Field:
     """Train on lines made from at most `rows` texts, those with the least hash; the only bounded sample here."""
-    sample = docs.select(F.substring(F.col(text), 1, 4000).alias("t"), F.xxhash64(text).alias("h")).filter("t is not null").orderBy("h", "t").limit(rows).collect()
+    hashed = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    least = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(rows).collect()]  # numbers first, so few texts move
+    sample = hashed.filter(F.col("h") <= max(least, default=0)).groupBy("h").agg(F.min(F.substring("t", 1, 4000)).alias("t")).orderBy("h").collect()
     return train([c for c in (chain_of(*x) for x in lines_for_training([r.t for r in sample])) if len(c[1])])
 
 
