@@ -129,30 +129,30 @@ def judged(docs: DataFrame, carry: list[str] | None = None, spread: int = SPREAD
     """The columns `carry` of `docs` (all, if not given) with the counts, base_failed and kept.
 
     Defined results: a null, empty or white text has no words, so its base fails; null lang or source are groups of
-    their own; rows that repeat are judged alike; an empty table gives no rows; columns of the input that are called like
-    one of the result's are replaced.
+    their own; rows that repeat are judged alike; an empty table gives no rows. The i-th carried column is called _c<i>, so
+    no name of the input meets one of the result.
     """
-    made = [*COUNTS, "n_lines", "base_failed", "kept"]
-    names = [c for c in (docs.columns if carry is None else carry) if c not in made]
-    m = measured(docs.select(*{*names, text, lang, source}), text).select(*names, F.col(lang).alias("_lang"), F.col(source).alias("_source"), "_q")
-    m = materialize(m, "measured").select("*", "_q.w.*", "_q.l.*", "_q.c.*").drop("_q")
+    names = list(docs.columns if carry is None else carry)
+    carried = [f"_c{i}" for i in range(len(names))]
+    rows = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(names, carried, strict=True)), F.col(text).alias("_text"), F.col(lang).alias("_lang"), F.col(source).alias("_source"))
+    m = materialize(measured(rows, "_text").drop("_text"), "measured").select("*", "_q.w.*", "_q.l.*", "_q.c.*").drop("_q")
     limits = thresholds(sketches(m.filter(~base_failed()), "_lang", "_source"), spread, least)
     limits = limits.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), *(f"{r}_most" for r in RULES))
     rows = m.join(limits, F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_s")), "left")
     within = F.lit(True)
     for r, e in RULES.items():
         within = within & F.coalesce(F.expr(e) <= F.col(f"{r}_most"), F.lit(True))
-    return rows.select(*names, *COUNTS, "n_lines", base_failed().alias("base_failed"), (~base_failed() & within).alias("kept"))
+    return rows.select(*carried, *COUNTS, "n_lines", base_failed().alias("base_failed"), (~base_failed() & within).alias("kept"))
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
-    return judged(docs, ["doc_id"]).select("doc_id", *COUNTS, "base_failed", "kept")
+    return judged(docs, ["doc_id"]).select(F.col("_c0").alias("doc_id"), *COUNTS, "base_failed", "kept")
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that pass, with its columns."""
-    return judged(docs).filter("kept").select(*docs.columns)
+    return judged(docs).filter("kept").select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 _MEASURE_SQL = "\n".join(f"union all select lang, source, '{r}' as rule, cast({e.replace(' div ', ' // ')} as bigint) as v from ok" for r, e in RULES.items()).removeprefix("union all ")
