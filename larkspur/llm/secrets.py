@@ -286,8 +286,8 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, text: str = "text") -> Field:
     return train([c for c in (chain_of(*x) for x in lines_for_training([r.t for r in sample])) if len(c[1])])
 
 
-def scan(docs: DataFrame, field: Field | None = None, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_crf (after the columns `carry`, if given).
+def scan(docs: DataFrame, field: Field | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_crf.
 
     spans is every span as kind:start:end (code points, end exclusive) by start and kind. Defined results: a null or empty
     text has no spans, and its base_sha256 is that of an empty string; rows that repeat, and null ids, are scanned as
@@ -295,30 +295,29 @@ def scan(docs: DataFrame, field: Field | None = None, doc_id: str = "doc_id", te
     """
     field = fit(docs, text=text) if field is None else field
     unary, moves = field.unary, field.moves
-    carried = carry or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = Field(unary, moves)
         for batch in batches:
-            buf, offsets = utf8(batch.column(1))
-            texts = batch.column(1).to_pylist()
-            out: list[tuple] = []
-            for a, b in chunks(offsets, 1 << 19):
-                part, at = buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                starts, ends = tokens(part, at)
-                tags = crf.decode(features(part, at, starts, ends) @ unary, np.unique(np.append(np.searchsorted(starts, at[:-1]), len(starts))))
-                mine = np.flatnonzero(tags != O)
-                owner = np.searchsorted(at, starts[mine], "right") - 1
-                for i in range(b - a):
-                    out.append(_row(texts[a + i] or "", part, at[i], starts, ends, tags, mine[owner == i] if len(mine) else mine))
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True))], names=["doc_id", *batch.schema.names[2:], "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_crf"])
-
-    # names of the input never meet names of the result
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("_text"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carried)))
-    kinds = "".join(f", _c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carried))
-    found = rows.mapInArrow(run, f"doc_id long{kinds}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long")
-    return found
+            cols = list(zip(*found(batch.column(1), crf), strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_crf"])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long")
+
+
+def found(column: pa.Array, crf: Field) -> Iterator[tuple]:
+    """(n_assign, n_access, n_hex, base_sha256, spans, n_crf) of each text of an Arrow column, in order."""
+    buf, offsets = utf8(column)
+    for a, b in chunks(offsets, 1 << 19):
+        texts = column.slice(a, b - a).to_pylist()
+        part, at = buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        starts, ends = tokens(part, at)
+        tags = crf.decode(features(part, at, starts, ends) @ crf.unary, np.unique(np.append(np.searchsorted(starts, at[:-1]), len(starts))))
+        mine = np.flatnonzero(tags != O)
+        edges = np.searchsorted(starts[mine], at)
+        for i in range(b - a):
+            yield _row(texts[i] or "", part, at[i], starts, ends, tags, mine[edges[i] : edges[i + 1]])
 
 
 def _row(text: str, part: np.ndarray, low: int, starts: np.ndarray, ends: np.ndarray, tags: np.ndarray, mine: np.ndarray) -> tuple:
@@ -345,29 +344,30 @@ def _row(text: str, part: np.ndarray, low: int, starts: np.ndarray, ends: np.nda
 def mask(docs: DataFrame, field: Field | None = None, text: str = "text", shown: str = "[SECRET]") -> DataFrame:
     """The rows and columns of `docs` with every span of a secret replaced in the text; all documents stay.
 
-    Overlapping spans are one. A null text stays null.
+    Overlapping spans are one. A null text stays null. Texts are scanned and replaced in one pass of one worker.
     """
+    field = fit(docs, text=text) if field is None else field
+    unary, moves = field.unary, field.moves
     names = list(docs.columns)
     at = names.index(text)
-    key = docs.withColumn("_row", F.lit(None).cast("long"))
-    found = scan(key, field, "_row", text, carry=names)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crf = Field(unary, moves)
         for batch in batches:
-            texts, spans = batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()
-            out = []
-            for t, s in zip(texts, spans, strict=True):
-                if t is not None and s:
-                    pairs = sorted(tuple(map(int, x.split(":")[1:])) for x in s.split(","))
-                    kept, end = [], 0
-                    for a, b in pairs:
-                        if a >= end:
-                            kept += [t[end:a], shown]
-                        end = max(end, b)
-                    t = "".join(kept) + t[end:]
-                out.append(t)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(out, pa.string()), *batch.columns[at + 1 : len(names)]], names=batch.schema.names[: len(names)])
-
-    rows = found.select(*(f"_c{i}" for i in range(len(names))), "spans")
-    done = rows.mapInArrow(put, ", ".join(f"_c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names)))
-    return done.toDF(*names)
+            out = [_replaced(t.as_py(), x[4], shown) for t, x in zip(batch.column(at), found(batch.column(at), crf), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(out, pa.string()), *batch.columns[at + 1 :]], names=batch.schema.names)
+
+    # plain names while in Python, where names that clash or need quoting are in the way
+    plain = docs.toDF(*(f"_c{i}" for i in range(len(names)))).withColumn(f"_c{at}", F.col(f"_c{at}").cast("string"))
+    return plain.mapInArrow(put, plain.schema).toDF(*names)
+
+
+def _replaced(text: str | None, spans: str, shown: str) -> str | None:
+    if text is None or not spans:
+        return text
+    kept, end = [], 0
+    for a, b in sorted(tuple(map(int, x.split(":")[1:])) for x in spans.split(",")):
+        if a >= end:
+            kept += [text[end:a], shown]
+        end = max(end, b)
+    return "".join(kept) + text[end:]
