@@ -87,7 +87,7 @@ def plan(counted: DataFrame, share: float, epochs: int, seed: int, weights: dict
     leaves = counted.groupBy(*TREE).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
     given = budgets(leaves, F.floor(F.col("tokens") * F.lit(share)), epochs, weights)
     given = given.withColumn("whole", F.when(F.col("tokens") > 0, F.expr("alloc div tokens")).otherwise(F.lit(0))).withColumn("rest", F.col("alloc") - F.col("whole") * F.col("tokens"))
-    given = materialize(given, "budgets")
+    given = materialize(given.repartition(1), "budgets")  # a row for each leaf: one small file
     short = given.select(*(F.col(c).alias(f"_{c}") for c in TREE), "whole", "rest").filter("rest > 0")
     leaf = F.col("domain").eqNullSafe(F.col("_domain")) & F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     key = counted.join(short, leaf).withColumn("o", _order(seed, F.col("whole"))).select(*TREE, "rest", "o", "n_tokens").withColumn("b", F.substring("o", 1, 3))
@@ -115,7 +115,7 @@ def selected(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, seed:
     rows = docs.withColumn("_domain", F.expr(domain_sql)).withColumn("_n_tokens", F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long"))
     counted = materialize(rows.select("doc_id", F.col("_domain").alias("domain"), "lang", "source", F.col("_n_tokens").alias("n_tokens")), "counted")
     p = plan(counted, share, epochs, seed, weights).select(F.col("domain").alias("_d"), F.col("lang").alias("_l"), F.col("source").alias("_s"), "whole", "cut")
-    p = materialize(p, "plan")
+    p = materialize(p.repartition(1), "plan")
     leaf = F.col("_domain").eqNullSafe(F.col("_d")) & F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s"))
     taken = F.filter(F.sequence(F.lit(0), F.col("whole")), lambda e: (e < F.col("whole")) | F.coalesce(_order(seed, F.col("whole")) <= F.col("cut"), F.lit(False)))
     return rows.join(p, leaf).withColumn("_epoch", F.explode(taken)).select(*names, "_domain", "_n_tokens", "_epoch")
