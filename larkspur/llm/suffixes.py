@@ -151,7 +151,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int = MOST, doc_
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(gram.view(np.int64)), pa.array((place - offsets[which]).astype(np.int32))], names=["doc_id", "h", "gram", "place"])
 
     seen = materialize(rows.mapInArrow(find, "doc_id long, h long, gram long, place int"), "anchors")
-    shared = seen.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
+    # written down, so that both sides of the join are plain exchanges and a gram that many texts share is split
+    shared = materialize(seen.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"), "shared")
     todo = seen.join(shared, "gram", "left_semi").groupBy("doc_id", "h").agg(F.collect_list("place").alias("places"))
     cuts = _ranges(length)
 
