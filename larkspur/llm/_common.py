@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of text that one numpy pass works on; arrays are some 60 times that.
 CHUNK_BYTES = 1 << 20
 
@@ -31,9 +32,18 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: lineage ends here and a lost executor loses nothing."""
+    """Write to the shared folder and read again: lineage ends here and a lost executor loses nothing.
+
+    The shuffle files behind the written table go at once; else they stay until the driver happens to collect garbage.
+    """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        # planned anew, as the setting is read when a query is planned
+        df.select("*").write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
