@@ -5,7 +5,8 @@ attributes without quotes, cut-off pages). Text lies in blocks. A paragraph-like
 one, one for each comma, and one for each 100 characters (three at most) go to the parent in full, to the grandparent by
 half, further up by 1 / (3 x distance), in Readability's way. A candidate's points are multiplied by 1 - link density.
 The best container is kept with those siblings that score enough or read like prose; elements that are never article
-text (navigation, forms, scripts, adverts, notices, reader comments by their names) are left out throughout.
+text (navigation, forms, scripts, adverts, notices, reader comments by their names) are left out throughout. A name
+counts for less than what an element holds: one around the marked article, or with most of the page's text, stays.
 """
 
 from __future__ import annotations
@@ -30,8 +31,14 @@ NEVER = {"script", "style", "noscript", "template", "head", "title", "nav", "foo
 #: An open <p> ends where one of these begins; others end their own kind.
 _ENDS_P = BLOCK - {"html", "head", "body", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "li", "dd", "dt"}
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-_UNLIKELY = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner\w*|breadcrumb\w*|comment\w*|community|cookie\w*|consent|disqus|disclaimer|disclosure|dropdown|flyout|footer|footnav|gdpr|header|masthead|menu\w*|modal|nav|navbar|navigation|newsletter|notice\w*|notification|outbrain|overlay|pager|pagination|popup|popular|promo\w*|recommend\w*|related\w*|remark|replies|reply|respond|rss|share|sharing|shoutbox|sidebar\w*|skyscraper|social|sponsor\w*|subscribe|subscription|taboola|tags?|teaser|toolbar|topbar|tweet|widget\w*|alert|toc|login|signup|search|copyright|feedback|discussion)(?:$|[\s_-]|\d)", re.I)
+#: Words of a class or id that name what isn't article text; what starts with a state or a topic (no-sidebar, has-header, tag-python) names nothing.
+_UNLIKELY = re.compile(r"(?:ad|ads|adv|advert\w*|banner\w*|breadcrumb\w*|comment\w*|community|cookie\w*|consent|disqus|disclaimer|disclosure|dropdown|flyout|footer|footnav|gdpr|header|masthead|menu\w*|modal|nav|navbar|navigation|newsletter|notice\w*|notification|outbrain|overlay|pager|pagination|popup|popular|promo\w*|recommend\w*|related\w*|remark|replies|reply|respond|rss|share|sharing|shoutbox|sidebar\w*|skyscraper|social|sponsor\w*|subscribe|subscription|taboola|tags?|teaser|toolbar|topbar|tweet|widget\w*|alert|toc|login|signup|search|copyright|feedback|discussion)(?:$|\d)")
+_STATES = {"no", "not", "non", "without", "with", "has", "have", "is"}
+_TOPICS = {"tag", "category", "cat", "term", "topic"}
+#: What readers and notices write is prose, but never the article, however long it is.
+_TALK = re.compile(r"(?:comment\w*|disqus|remark|replies|reply|respond|shoutbox|cookie\w*|consent|gdpr)(?:$|\d)")
 _LIKELY = re.compile(r"article|body|content|entry|hentry|h-entry|main|page|post|text|blog|story", re.I)
+_LIKELY_WORDS = {"article", "body", "content", "entry", "hentry", "h", "main", "page", "post", "text", "blog", "story"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alertdialog", "alert", "form", "toolbar"}
 _START = {"article": 10, "main": 8, "div": 5, "section": 3, "pre": 3, "td": 3, "blockquote": 3, "address": -3, "ol": -3, "ul": -3, "dl": -3, "dd": -3, "dt": -3, "li": -3, "th": -5, "h1": -5, "h2": -5, "h3": -5, "h4": -5, "h5": -5, "h6": -5}
 
@@ -124,22 +131,30 @@ def _dropped(node: Node) -> bool:
         while up is not None and up.tag not in ("article", "main"):
             up = up.parent
         return up is None
-    return bool(node.names) and node.tag not in ("html", "body", "article", "main") and bool(_UNLIKELY.search(node.names))
+    return False
 
 
-def _measure(root: Node) -> list[Node]:
-    """Nodes in page order without what is left out; sets chars, linked and commas from the bottom up."""
-    order, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        order.append(node)
-        for c in node.children:
-            if isinstance(c, Node):
-                if _dropped(c):
-                    c.drop = True
-                else:
-                    stack.append(c)
+def _words(token: str) -> list[str]:
+    """The words of one class or id that say what the element is."""
+    words = [w for w in re.split(r"[_-]+", token.lower().split("--")[0]) if w]
+    if len(words) > 1 and (words[0] in _TOPICS and words[1] not in ("cloud", "list", "links") or words[-1] == "header" and words[0] in ("article", "entry", "post", "story", "blog")):
+        return []
+    return words[: next((i for i, w in enumerate(words) if w in _STATES), len(words))]
+
+
+def _unlikely(names: str, kinds: re.Pattern = _UNLIKELY) -> bool:
+    return any(kinds.match(w) for token in names.split() for w in _words(token))
+
+
+def _likely(names: str) -> bool:
+    """Whether a whole class or id says article text, as in `post` or `entry-content`."""
+    return any(words and _LIKELY_WORDS.issuperset(words) for words in map(_words, names.split()))
+
+
+def _count(order: list[Node]) -> None:
+    """Sets chars, linked and commas from the bottom up."""
     for node in reversed(order):
+        node.chars = node.linked = node.commas = 0
         for c in node.children:
             if isinstance(c, str):
                 t = c.strip()
@@ -149,6 +164,49 @@ def _measure(root: Node) -> list[Node]:
                 node.chars += c.chars
                 node.linked += c.chars if c.tag == "a" else c.linked
                 node.commas += c.commas
+
+
+def _drop_by_name(order: list[Node], named: list[Node]) -> None:
+    """Drop the nodes `named` but those around a main or the longest article, with a name for article text as well, or with most of the page's unlinked text."""
+    prose = lambda x: x.chars - x.linked
+    marked = [x for x in order if x.tag == "main" and x.chars]
+    articles = [x for x in order if x.tag == "article" and x.chars and not _unlikely(x.names)]
+    marked += [max(articles, key=prose)] if articles else []
+    around: set[Node] = set()
+    for x in marked:
+        while x is not None and x not in around:
+            around.add(x)
+            x = x.parent
+    for x in named:
+        x.drop = x not in around and (_unlikely(x.names, _TALK) or not _likely(x.names) and 2 * prose(x) <= prose(order[0]))
+
+
+def _measure(root: Node) -> list[Node]:
+    """Nodes in page order without what is left out; sets chars, linked and commas from the bottom up."""
+
+    def reached() -> list[Node]:
+        order, stack = [], [root]
+        while stack:
+            node = stack.pop()
+            order.append(node)
+            stack += [c for c in node.children if isinstance(c, Node) and not c.drop]
+        return order
+
+    stack, named = [root], []
+    while stack:
+        for c in stack.pop().children:
+            if isinstance(c, Node):
+                c.drop = _dropped(c)
+                if not c.drop:
+                    stack.append(c)
+                    if c.names and c.tag not in ("body", "article", "main", "html") and _unlikely(c.names):
+                        named.append(c)
+    order = reached()
+    _count(order)
+    if named:
+        _drop_by_name(order, named)
+        order = reached()
+        _count(order)
     return order
 
 

@@ -184,6 +184,26 @@ def test_main_text():
     assert html.main_text("<div>" * 3000 + "deep") == "deep"
 
 
+def test_main_text_in_wrappers_with_unlikely_names():
+    body = "".join(f"<p>Paragraph {i} of the article, long enough, says this and that.</p>" for i in range(6))
+    side = '<div class="sidebar"><p>Side text, which is short.</p></div>'
+    want = html.main_text(f"<article>{body}</article>")
+    assert want.count("Paragraph") == 6
+    for names in ("layout no-sidebar", "has-sidebar", "has-header-image", "sidebar-layout", "content-sidebar-wrap", "page--sidebar"):
+        assert html.main_text(f'<div class="{names}"><article>{body}</article></div>{side}') == want
+        assert html.main_text(f'<div class="{names}"><main>{body}</main>{side}</div>') == want
+        assert html.main_text(f'<div class="{names}">{body}</div>{side}') == want
+    for names in ("post hentry tag-python", "post hentry category-social tag-community", "entry-content popular"):
+        assert html.main_text(f'<div class="{names}">{body}</div>{side}') == want
+    assert html.main_text(f'<div class="post"><div class="entry-header"><h1>Head</h1></div>{body}</div>') == "Head " + want
+    # comments stay out, long ones and those marked as articles too; so do other parts named for what they are
+    talk = '<article class="comment-body"><p>Great, thanks, I liked it, and so on.</p></article>' * 40
+    for page in (f'<article>{body}</article><div id="comments">{talk}</div>', f'<article>{body}<div class="comments-area">{talk}</div></article>', f'<div class="post">{body}</div><div id="comments">{talk}</div>'):
+        assert html.main_text(page) == want
+    for names in ("tag-cloud", "site-footer", "main-nav", "related-posts", "post-tags", "cookie-notice"):
+        assert html.main_text(f'<div class="post">{body}<div class="{names}"><p>Other text, not of the article.</p></div></div>') == want
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>a&nbsp;b</p></article>", "x"), (None, None, None, "y")], "page_id long, url string, html string, text string")
     got = {r.page_id: (r.url, r.text, r.n_chars) for r in html.extract(df).collect()}
