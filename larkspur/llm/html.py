@@ -320,6 +320,9 @@ def main_text(page: str | None) -> str:
             alike = x.score + (best.score * 0.2 if x.names and x.names == best.names else 0) >= fence and _density(x) < 0.33
             if x is best or prose or title or alike:
                 kept.append(x)
+    elif best.tag == "article" and best.parent is not None:  # the other parts of an article in several
+        fence = max(10.0, best.score * 0.2)
+        kept = [x for x in best.parent.children if x is best or isinstance(x, Node) and not x.drop and x.tag == "article" and x.score >= fence and _density(x) < 0.33 and not _unlikely(x.names)]
     return " ".join(_blocks(kept))
 
 

@@ -204,6 +204,16 @@ def test_main_text_in_wrappers_with_unlikely_names():
         assert html.main_text(f'<div class="post">{body}<div class="{names}"><p>Other text, not of the article.</p></div></div>') == want
 
 
+def test_main_text_of_several_articles():
+    part = lambda k, n: "".join(f"<p>Part {k}, paragraph {i}, long enough, says this and that.</p>" for i in range(n))
+    card = '<article class="card"><p><a href="/x">A linked teaser, long enough to score, of another page.</a></p></article>'
+    comment = '<article class="comment"><p>Great, thanks, I liked it, and so on.</p></article>'
+    want = html.main_text(f"<article>{part(1, 5)}{part(2, 3)}</article>")
+    assert want.count("paragraph") == 8
+    assert html.main_text(f"<main><article>{part(1, 5)}</article><article>{part(2, 3)}</article>{card}{comment}</main>") == want
+    assert html.main_text(f"<div><article>{part(1, 5)}</article><p>Between.</p><article>{part(2, 3)}</article></div>") == want
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>a&nbsp;b</p></article>", "x"), (None, None, None, "y")], "page_id long, url string, html string, text string")
     got = {r.page_id: (r.url, r.text, r.n_chars) for r in html.extract(df).collect()}
