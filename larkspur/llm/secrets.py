@@ -5,8 +5,8 @@ mixed, how long), its neighbours' words (names such as token or key, and = or :
 much of the text looks like code). The weights of features and of tag transitions are trained here by the chain's
 log-likelihood (forward-backward, gradient steps) on a bounded sample, and tags are decoded by Viterbi.
 
-Base spans come from the patterns of the contract and always stay; the field adds spans of kind `crf` where no base span
-lies. Decoding is exact but lazy: a token whose best possible score as B or I can't beat O is O, so Viterbi runs only
+Base spans come from the patterns of the contract and always stay; the field adds spans of kind `crf`, whole, but those
+that base spans cover wholly. Decoding is exact but lazy: a token whose best possible score as B or I can't beat O is O, so Viterbi runs only
 over the stretches around the others.
 """
 
@@ -320,6 +320,14 @@ def found(column: pa.Array, crf: Field) -> Iterator[tuple]:
             yield _row(texts[i] or "", part, at[i], starts, ends, tags, mine[edges[i] : edges[i + 1]])
 
 
+def _covered(a: int, b: int, base: list[tuple[int, int, int]]) -> bool:
+    """Whether spans, sorted by start, cover all of [a, b)."""
+    for s, e, _ in base:
+        if s <= a < e:
+            a = e
+    return a >= b
+
+
 def _row(text: str, part: np.ndarray, low: int, starts: np.ndarray, ends: np.ndarray, tags: np.ndarray, mine: np.ndarray) -> tuple:
     base = base_spans(text)
     both = list(base)
@@ -334,7 +342,7 @@ def _row(text: str, part: np.ndarray, low: int, starts: np.ndarray, ends: np.nda
             if (m := re.match(r"[A-Za-z_.-]{2,40}[=:](?=.{8})", trimmed[lead:])) and not trimmed[lead:].lower().startswith("http"):
                 lead += m.end()
             a, b = len(head) + lead, len(head) + len(trimmed)
-            if b > a and not any(s < b and a < e for s, e, _ in base):
+            if b > a and not _covered(a, b, base):
                 both.append((a, b, 3))
     join = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], x[2])))
     n = [sum(k == i for _, _, k in both) for i in range(4)]

@@ -261,6 +261,28 @@ def test_secret_base_spans_and_field(spark):
     assert masked[2] is None and masked[4] == "plain words only" and "abcdef12" not in masked[1]
 
 
+def test_field_spans_beyond_base_spans(spark):
+    field = secrets.train([c for c in (secrets.chain_of(*x) for x in secrets.lines_for_training(sentences(1, 20))) if len(c[1])])
+    tail, key = "Xyz98765Qw3rTyU1oP4sD6", "Kq7Zp2Xw" + "0a1b2c3d4e5f" * 2 + "Wt9Lm4Rv"
+    texts = [f"the password=Abcd1234Efgh!{tail} ends", f"a bare {key} here", "only token=Ab12Cd34Ef56Gh78Ij90Kl12 here"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.scan(df, field).collect()}
+    assert [(got[i].n_assign, got[i].n_hex, got[i].n_crf) for i in range(3)] == [(1, 0, 1), (0, 1, 1), (1, 0, 0)]
+    for i in range(3):  # base spans stay as they are
+        base = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, b, k in secrets.base_spans(texts[i]))
+        assert got[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest() and set(base.split(",")) <= set(got[i].spans.split(","))
+    masked = {r.doc_id: r.text for r in secrets.mask(df, field).collect()}
+    assert masked == {0: "the [SECRET] ends", 1: "a bare [SECRET] here", 2: "only [SECRET] here"}
+
+
+def test_field_run_of_tokens_that_meets_a_base_span():
+    part = np.frombuffer(b"x secret=abcdef more Tail9 y", np.uint8)
+    starts, ends = secrets.tokens(part, np.array([0, len(part)]))
+    tags = np.array([2, 0, 1, 1, 2])
+    row = secrets._row(part.tobytes().decode(), part, 0, starts, ends, tags, np.flatnonzero(tags != 2))
+    assert row[4] == "assign:2:15,crf:9:26" and row[5] == 1
+
+
 def test_pipeline_stages(spark):
     base = sentences(3, 30, 60)
     texts = [*base, *base[:5], "junk", "go " * 60, base[7] + ' token = "a1b2c3d4e5f6"']
