@@ -184,7 +184,8 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float
                     yield pa.RecordBatch.from_arrays([*(x.field(k) for k in range(5)), part.column(1).take(pa.array(p)), part.column(2).take(pa.array(p)), part.column(3).take(pa.array(p)), pa.array([grams[i] for i in p], pa.binary())], names=["band", "hash", "blk", "bi", "bj", "rep", "n", "bands", "grams"])
 
     texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).withColumn("rep_h", text_hash(F.col("text")))
-    full = texts.join(todo, ["rep", "rep_h"]).select("text", "rep", "n", "bands", "tasks")
+    # rows that repeat an id and a text are in n already: one of them stands for the class
+    full = texts.join(todo, ["rep", "rep_h"]).dropDuplicates(["rep", "rep_h"]).select("text", "rep", "n", "bands", "tasks")
     full = full.mapInArrow(sets, "band int, hash long, blk int, bi int, bj int, rep long, n long, bands binary, grams binary")
     by = ["band", "hash", "bi", "bj"]
     full = full.repartition(*by).sortWithinPartitions(*by, "rep")

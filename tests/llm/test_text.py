@@ -67,6 +67,22 @@ def test_jaccard_repeats_and_empty(spark):
     assert jaccard.choose_bands(0.8, 0.9999, 5) == 24
 
 
+@pytest.mark.parametrize("block", [jaccard.BLOCK, 2])
+def test_jaccard_repeated_rows_with_near_copies(spark, block):
+    rows = [(i, t) for i, t in enumerate(near_copies())]
+    rows += [rows[k] for k in (8, 8, 9, 12, 13, len(rows) - 1)]
+    sets = []
+    for _, t in rows:
+        w = WORD.findall(t or "")
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    link = [[i != j and bool(a and b) and len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    group = [i for i, _ in rows]
+    for _ in group:
+        group = [min([group[i], *(group[j] for j, x in enumerate(link[i]) if x)]) for i in range(len(rows))]
+    got = sorted((r.doc_id, r.n_links, r.group_id) for r in jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), block=block).collect())
+    assert got == sorted((rows[i][0], sum(link[i]), group[i]) for i in range(len(rows)))
+
+
 @pytest.mark.parametrize(("name", "spaces"), [("byte_bpe_50k.json", "kept"), ("word_bpe_49k.json", "dropped")])
 def test_encoding_is_the_librarys(name, spaces):
     e = Encoder(vocabulary(name), spaces, keep=100)
