@@ -311,3 +311,135 @@ def test_pipeline_stages(spark):
     clean = stages["secret scans"](spark, kept, "")
     assert clean.count() == 36 and clean.filter("text like '%a1b2c3d4e5f6%'").count() == 0 and clean.columns == df.columns
     assert stages["mixing sources to target weights"](spark, clean, "").columns == df.columns
+
+
+def plain_quality(docs):
+    """Documents that stage one keeps."""
+
+    def bucket_top(v):
+        k = v.bit_length() - 6
+        return v if v < 64 else (((v >> k) + 1) << k) - 1
+
+    measures, base = {}, []
+    for d in docs:
+        t = d["text"] or ""
+        w, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+        windows = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        cover = len({k + j for k in range(len(w) - 7) if windows[tuple(w[k : k + 8])] > 1 for j in range(8)})
+        chars = sum(map(len, w))
+        measures[d["doc_id"]] = {"symbols": 1000 * len(re.findall(r"[#*$%&|<>]", t)) // max(chars, 1), "dup_lines": 1000 * (len(lines) - len(set(lines))) // max(len(lines), 1), "repeats": 1000 * cover // max(len(w), 1), "word_length": 1000 * chars // max(len(w), 1)}
+        if len(w) >= 20 and 100 * cover <= 30 * len(w):
+            base.append(d)
+    kept = []
+    for d in base:
+        group = next((g for g in ([x for x in base if (x["lang"], x["source"]) == (d["lang"], d["source"])], [x for x in base if x["lang"] == d["lang"]]) if len(g) >= 50), base)
+        for rule, v in measures[d["doc_id"]].items():
+            tops = sorted(bucket_top(measures[x["doc_id"]][rule]) for x in group)
+            q25, q75 = (tops[-(-len(tops) * q // 100) - 1] for q in (25, 75))
+            if v > q75 + 3 * (q75 - q25) + {"symbols": 60, "dup_lines": 300, "repeats": 300, "word_length": 2500}[rule]:
+                break
+        else:
+            kept.append(d)
+    return kept
+
+
+def plain_near_dedup(docs):
+    sets = []
+    for d in docs:
+        w = WORD.findall(d["text"])
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    group = [d["doc_id"] for d in docs]
+    for _ in docs:
+        group = [min(group[j] for j, b in enumerate(sets) if len(a & b) >= 0.8 * len(a | b)) for a in sets]
+    return [d for d, g in zip(docs, group, strict=True) if d["doc_id"] == g]
+
+
+def plain_masked(text):
+    """Base patterns, and tokens that begin with ghp_, the only ones that the test's field tags."""
+    spans = [m.span() for m in re.finditer(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text) if len(m[1]) >= 6]
+    spans += [m.span() for p in (r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}", r"(?<!\S)ghp_\w+") for m in re.finditer(p, text)]
+    hidden = {i for a, b in spans for i in range(a, b)}
+    return "".join("[SECRET]" if i in hidden and i - 1 not in hidden else "" if i in hidden else c for i, c in enumerate(text))
+
+
+def plain_mixed(docs):
+    """doc_ids taken, one for each epoch."""
+    weights = [{"d0": 4, "d1": 2}, {"en": 3, "de": 2}, {"src0": 2}]
+    tokens, leaves = Counter(), {}
+    for d in docs:
+        leaf = (f"d{int(d['source'][3:]) // 4}", d["lang"], d["source"])
+        leaves.setdefault(leaf, []).append((d["doc_id"], len(WORD.findall(d["text"]))))
+        tokens[leaf] += leaves[leaf][-1][1]
+    alloc = {}
+
+    def deal(node, given):
+        if len(node) == 3:
+            alloc[node] = given
+            return
+        supply = Counter()
+        for leaf, n in tokens.items():
+            if leaf[: len(node)] == node:
+                supply[leaf[: len(node) + 1]] += 4 * n
+        w = {c: weights[len(node)].get(c[-1], 1) for c in supply}
+        todo = sorted(supply, key=lambda c: (supply[c] / w[c], c[-1] is not None, c[-1] or ""))
+        while todo and given * w[todo[0]] // sum(w[c] for c in todo) >= supply[todo[0]]:
+            given -= supply[todo[0]]
+            deal(todo[0], supply[todo.pop(0)])
+        ws = sum(w[c] for c in todo)
+        for c in todo:
+            deal(c, min(supply[c], given * w[c] // ws))
+
+    deal((), min(4 * sum(tokens.values()), int(sum(tokens.values()) * 0.6)))
+    taken = []
+    for leaf, rows in leaves.items():
+        whole, rest = divmod(alloc[leaf], tokens[leaf])
+        taken += [i for i, _ in rows] * whole
+        for i, n in sorted(rows, key=lambda x: hashlib.md5(f"42:{whole}:{x[0]}".encode()).hexdigest()):
+            if rest > 0:
+                taken.append(i)
+            rest -= n
+    return taken
+
+
+def test_pipeline_run_matches_plain_python(spark, tmp_path, monkeypatch):
+    r = random.Random(4)
+    key = lambda n: "".join(r.choice("ABCDEFGHkmnpqrst23456789") for _ in range(n))
+    texts = []
+    for i, base in enumerate(sentences(21, 110, 60)):
+        w = base.split(" ")
+        texts.append(base)
+        if i % 5 == 0:
+            texts += [base, " ".join([*w[:30], "changed", *w[31:]])]
+        if i % 7 == 0:
+            w[20:20] = r.choice([[f"ghp_{key(36)}"], ["token", "=", f'"{key(12)}"'], [f"password={key(9)}"], [f"AKIA{'Q7' * 8}"], ["0a1b2c3d" * 4]])
+            texts.append(" ".join(w[::-1] if i % 2 else w[10:]))
+    texts += [None, "", "junk", "go " * 60, sentences(5, 1, 40)[0] + " #####" * 30, "\n".join([sentences(6, 1, 25)[0], *sentences(7, 2, 3), *["same line here"] * 4]), " ".join("x" * 40 for _ in range(3)) + " " + sentences(8, 1, 30)[0], " ".join(sentences(9, 60, 40))]
+    docs = [{"doc_id": i, "text": t, "lang": ["en", "de", None][i % 3], "source": f"src{i % 9}", "n_chars": len(t or "")} for i, t in enumerate(texts)]
+    spark.createDataFrame([tuple(d.values()) for d in docs], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    unary = np.zeros((len(secrets.FEATURES), 3))
+    unary[secrets.FEATURES.index("bias")] = [0, -50, 5]
+    unary[secrets.FEATURES.index("prefix of a known key"), secrets.B] = 10
+    monkeypatch.setattr(secrets, "fit", lambda *a, **k: secrets.Field(unary, np.zeros((3, 3))))
+    got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+
+    first = plain_quality(docs)
+    second = plain_near_dedup(first)
+    third = [{**d, "text": plain_masked(d["text"])} for d in second]
+    taken = plain_mixed(third)
+    assert len(docs) > len(first) > len(second) > len(set(taken)) and sum(a["text"] != b["text"] for a, b in zip(second, third, strict=True)) > 5
+    e = Encoder(vocabulary("word_bpe_49k.json"), "dropped")
+    text, want = {d["doc_id"]: d["text"] for d in third}, []
+    for i in taken:
+        ids = np.array([*e.tok.encode(text[i], add_special_tokens=False).ids, 0], "<u4")
+        want += [(i, a // 2048, a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes())) for a in range(0, len(ids), 2048)]
+    assert sorted(got[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == sorted(want)
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert (g.offset.to_numpy() == np.cumsum(g.length) - g.length).all() and g.length.sum() <= 2048
+    room = []  # best fit, longest first
+    for n in sorted((x[3] for x in want), reverse=True):
+        fits = [k for k, x in enumerate(room) if x >= n]
+        if fits:
+            room[min(fits, key=lambda k: room[k])] -= n
+        else:
+            room.append(2048 - n)
+    assert got.sequence_id.nunique() == len(room)
