@@ -33,8 +33,12 @@ KINDS = ["assign", "access", "hex", "crf"]
 B, I, O = 0, 1, 2
 #: Rows that the field is trained on, at most.
 TRAIN_ROWS = 400
+#: Characters and words of each of these texts that its lines are made from, at most.
+TRAIN_CHARS, TRAIN_WORDS = 4000, 400
 _NAMES = ("password", "passwd", "passphrase", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "accesskey", "secret_key", "private_key", "credential", "credentials", "auth", "authorization", "bearer", "client_secret", "signature", "sas", "sig", "key")
-FEATURES = ["bias", "length 1-7", "length 8-15", "length 16-19", "length 20-31", "length 32+", "digit", "no digit", "upper", "lower", "digit and letter", "three kinds", "many changes", "few changes", "hex only", "letters only", "digits only", "high byte", "dots or slashes", "long alnum run", "after name", "after name and =", "after = or :", "ends with = or :", "is name", "prefix of a known key", "url or mail", "many different characters", "few different characters", "file like code", "end of line"]
+_LAST = {w.replace("-", "_").rpartition("_")[2] for w in _NAMES}
+_GLUED = re.compile(rb"([A-Za-z][A-Za-z_.-]{1,39})[=:](?=.{6})")
+FEATURES = ["bias", "length 1-7", "length 8-15", "length 16-19", "length 20-31", "length 32+", "digit", "no digit", "upper", "lower", "digit and letter", "three kinds", "many changes", "few changes", "hex only", "letters only", "digits only", "high byte", "dots or slashes", "long alnum run", "after name", "after name and =", "after = or :", "ends with = or :", "is name", "prefix of a known key", "url or mail", "many different characters", "few different characters", "file like code", "end of line", "name and = before it", "name and = before digits and letters"]
 _F = {n: i for i, n in enumerate(FEATURES)}
 _PREFIX = (b"ghp_", b"gho_", b"ghs_", b"sk-", b"sk_live", b"sk_test", b"pk_live", b"xoxb-", b"xoxp-", b"AIza", b"ASIA", b"glpat-", b"eyJ", b"npm_", b"SG.", b"ya29.", b"hf_", b"dop_v1_", b"shpat_")
 
@@ -117,6 +121,12 @@ def features(buf: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.
         x[i, _F["many different characters"]] = many >= min(12, 0.55 * len(core))
         x[i, _F["few different characters"]] = many <= 0.25 * len(core)
     on("is name", name)
+    # a value written on to its name: no blank around = or :
+    for i in np.flatnonzero((total((buf == 61) | (buf == 58)) > 0) & (size >= 8) & (size <= 80)):
+        if (m := _GLUED.match(raw[starts[i] : ends[i]])) and m[1].decode().lower().replace("-", "_").rpartition("_")[2] in _LAST:
+            x[i, _F["name and = before it"]] = 1
+            value = raw[starts[i] + m.end() : ends[i]]
+            x[i, _F["name and = before digits and letters"]] = any(48 <= c <= 57 for c in value) and any(c | 32 in range(97, 123) for c in value)
     doc = np.searchsorted(offsets, starts, "right")
     same = np.append(False, doc[1:] == doc[:-1])
     back = lambda v: np.append(False, v[:-1]) & same
@@ -212,7 +222,7 @@ def train(chains: list[tuple[np.ndarray, np.ndarray]], rounds: int = 60, rate: f
     return Field(unary, moves)
 
 
-def lines_for_training(texts: list[str], seed: int = 5) -> list[tuple[str, list[tuple[int, int]]]]:
+def lines_for_training(texts: list[str], seed: int = 5, most: int = TRAIN_WORDS) -> list[tuple[str, list[tuple[int, int]]]]:
     """(line, secret intervals) made from clean lines of `texts`: secrets of several makes are put in, and look-alikes.
 
     Labels are exact, since the secrets are ours: seeded random keys after names, bare keys with known prefixes, mixed
@@ -223,10 +233,11 @@ def lines_for_training(texts: list[str], seed: int = 5) -> list[tuple[str, list[
     r = random.Random(seed)
     alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     pick = lambda abc, a, b: "".join(r.choice(abc) for _ in range(r.randint(a, b)))
-    words = [w for t in texts for w in t.split()[:400] if w.isalpha()] or ["word"]
+    words = [w for t in texts for w in t.split()[:most] if w.isalpha()] or ["word"]
     plain = lambda: r.choice(words)
-    names = ["password", "client_secret", "access_key", "auth_token", "private_key", "secret_key", "pwd", "Authorization", "DB_PASSWORD", "key", "token", "api_key"]
+    names = ["password", "client_secret", "access_key", "auth_token", "private_key", "secret_key", "pwd", "passphrase", "credential", "Authorization", "DB_PASSWORD", "key", "token", "api_key"]
     secret = [lambda: pick(alnum, 20, 48), lambda: pick("0123456789abcdef", 32, 64), lambda: pick(alnum + "+/", 36, 60) + "=", lambda: pick(alnum + "-_", 24, 44)]
+    short = lambda: (x := pick(alnum, 5, 18))[: (k := r.randint(0, len(x)))] + r.choice("0123456789") + x[k:]
     bare = [lambda: "ghp_" + pick(alnum, 36, 36), lambda: "sk-" + pick(alnum, 32, 48), lambda: "AKIA" + pick(alnum[:26] + alnum[52:], 16, 16), lambda: "xoxb-" + pick("0123456789", 10, 12) + "-" + pick(alnum, 24, 24), lambda: "eyJ" + pick(alnum, 30, 50) + "." + pick(alnum, 30, 60)]
     decoy = [lambda: pick("0123456789", 8, 20), lambda: f"{plain()}.{r.randint(1, 99)}@mail{r.randint(1, 9)}.example.com", lambda: f"https://www.{plain()}.example.com/{plain()}/{r.randint(1, 9999)}?q={plain()}", lambda: f"/usr/{plain()}/{plain()}_{r.randint(1, 99)}.txt", lambda: f"2024-0{r.randint(1, 9)}-1{r.randint(0, 9)}T10:{r.randint(10, 59)}:00Z", lambda: (plain() + plain() + plain()).upper(), lambda: plain() + plain() + plain(), lambda: f"192.168.{r.randint(0, 255)}.{r.randint(0, 255)}", lambda: f"+49-{pick('0123456789', 3, 4)}-{pick('0123456789', 6, 8)}", lambda: plain() + r.choice(["***", "%%%", "###", "&&&", "!!"]), lambda: f"{plain()}-{plain()}-{plain()}", lambda: f"{plain()}{r.randint(1, 99)}", lambda: plain() * 4, lambda: f"{plain()}={plain()}", lambda: f"v{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}-{plain()}"]
     out: list[tuple[str, list[tuple[int, int]]]] = []
@@ -244,17 +255,26 @@ def lines_for_training(texts: list[str], seed: int = 5) -> list[tuple[str, list[
             add(plain())
         what = r.random()
         if what < 0.3:
-            add(r.choice(names) + r.choice(["=", ":", " =", " :", ""]))
-            q = r.choice(['"', "'", ""])
-            if q:
-                add(q)
-            add(r.choice(secret)(), True)
+            name, q, value = r.choice(names), r.choice(['"', "'", ""]), short() if r.random() < 0.5 else r.choice(secret)()
+            if r.random() < 0.4:
+                add(name + r.choice("=:") + q)
+                marks.append((len(line), len(line) + len(value)))
+                line += value
+            else:
+                add(name + r.choice(["=", ":", " =", " :", ""]))
+                if q:
+                    add(q)
+                add(value, True)
             line += q
         elif what < 0.45:
             add(r.choice(bare)(), True)
-        elif what < 0.5:
-            add(r.choice(names) + r.choice([" =", " is", ":"]))
-            add(plain())
+        elif what < 0.55:
+            value = r.choice([plain, plain, lambda: str(r.randint(1, 99999))])()
+            if r.random() < 0.4:
+                add(r.choice(names) + r.choice("=:") + value)
+            else:
+                add(r.choice(names) + r.choice([" =", " is", ":", ""]))
+                add(value)
         else:
             for _ in range(r.randint(1, 4)):
                 add(r.choice(decoy)())
@@ -278,12 +298,12 @@ def chain_of(line: str, marks: list[tuple[int, int]]) -> tuple[np.ndarray, np.nd
     return features(buf, offsets, starts, ends), tags
 
 
-def fit(docs: DataFrame, rows: int = TRAIN_ROWS, text: str = "text") -> Field:
+def fit(docs: DataFrame, rows: int = TRAIN_ROWS, text: str = "text", chars: int = TRAIN_CHARS, words: int = TRAIN_WORDS) -> Field:
     """Train on lines made from at most `rows` texts, those with the least hash; the only bounded sample here."""
     hashed = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), F.col(text).alias("t"))
     least = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(rows).collect()]  # numbers first, so few texts move
-    sample = hashed.filter(F.col("h") <= max(least, default=0)).groupBy("h").agg(F.min(F.substring("t", 1, 4000)).alias("t")).orderBy("h").collect()
-    return train([c for c in (chain_of(*x) for x in lines_for_training([r.t for r in sample])) if len(c[1])])
+    sample = hashed.filter(F.col("h") <= max(least, default=0)).groupBy("h").agg(F.min(F.substring("t", 1, chars)).alias("t")).orderBy("h").collect()
+    return train([c for c in (chain_of(*x) for x in lines_for_training([r.t for r in sample], most=words)) if len(c[1])])
 
 
 def scan(docs: DataFrame, field: Field | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -339,7 +359,7 @@ def _row(text: str, part: np.ndarray, low: int, starts: np.ndarray, ends: np.nda
             trimmed = body.rstrip(",;.:!?()[]{}<>*%#&$|")
             lead = len(trimmed) - len(trimmed.lstrip("([{<,;:"))
             # a value written on to its name: the name isn't part of the secret
-            if (m := re.match(r"[A-Za-z_.-]{2,40}[=:](?=.{8})", trimmed[lead:])) and not trimmed[lead:].lower().startswith("http"):
+            if (m := re.match(r"[A-Za-z_.-]{2,40}[=:](?=.{6})", trimmed[lead:])) and not trimmed[lead:].lower().startswith("http"):
                 lead += m.end()
             a, b = len(head) + lead, len(head) + len(trimmed)
             if b > a and not _covered(a, b, base):

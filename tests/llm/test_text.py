@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -299,6 +300,25 @@ def test_field_run_of_tokens_that_meets_a_base_span():
     assert row[4] == "assign:2:15,crf:9:26" and row[5] == 1
 
 
+@pytest.mark.parametrize("form", ["pwd: {}", "pwd={}", 'passphrase = "{}"', "client credential: {}"])
+def test_field_recall_of_short_secrets(form):
+    field = secrets.train([c for c in (secrets.chain_of(*x) for x in secrets.lines_for_training(sentences(1, 20))) if len(c[1])])
+    r = random.Random(12)
+    words = " ".join(sentences(30, 5)).split()
+    for low, high in ((6, 7), (8, 11), (12, 15), (16, 19), (20, 31)):
+        hit = 0
+        for _ in range(60):
+            secret = "".join(r.choice("ABCDEFGHabcdefgh") for _ in range(r.randint(low, high) - 2))
+            secret = secret[:2] + r.choice("23456789") + secret[2:] + r.choice("23456789")
+            head, rest = " ".join(r.choices(words, k=5)) + " ", " " + " ".join(r.choices(words, k=4))
+            line = head + form.format(secret) + rest
+            spans = next(secrets.found(pa.array([line]), field))[4]
+            hit += secret not in secrets._replaced(line, spans, "")
+            plain = head + form.format("wordlike") + rest
+            assert next(secrets.found(pa.array([plain]), field))[4] == ""
+        assert hit >= 0.8 * 60, (low, hit)
+
+
 def test_pipeline_stages(spark):
     base = sentences(3, 30, 60)
     texts = [*base, *base[:5], "junk", "go " * 60, base[7] + ' token = "a1b2c3d4e5f6"']
