@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
+import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -11,40 +16,69 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: list[str] = []
+from . import files
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of text that one numpy pass works on; arrays are some 60 times that.
 CHUNK_BYTES = 1 << 20
+_own: list[str] = []
+_lock = threading.Lock()
+_writing: dict[int, list] = {}  # session -> [writes that run, the setting before them]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local master, as in tests, may leave it unset: it gets a folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
-    if not _OWN:
-        _OWN.append("file://" + tempfile.mkdtemp(prefix="larkspur-"))
-    return _OWN[0]
+    if not re.match(r"local($|\[)", spark.conf.get("spark.master", "local")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _own:
+        _own.append("file://" + tempfile.mkdtemp(prefix="larkspur-"))
+        atexit.register(shutil.rmtree, _own[0].removeprefix("file://"), ignore_errors=True)
+    return _own[0]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def _dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """While any write of this session runs, shuffle files go as soon as their query has ended; the last one restores the setting."""
+    with _lock:
+        held = _writing.setdefault(id(spark), [0, spark.conf.get(_CLEANUP, None)])
+        held[0] += 1
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            held[0] -= 1
+            if not held[0]:
+                before = _writing.pop(id(spark))[1]
+                spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: lineage ends here and a lost executor loses nothing.
 
     The shuffle files behind the written table go at once; else they stay until the driver happens to collect garbage.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _dropping_shuffles(spark):
         # planned anew, as the setting is read when a query is planned
         df.select("*").write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of `materialize` that nothing reads any more. One that can't be deleted stays; that harms nothing."""
+    for t in tables:
+        with contextlib.suppress(OSError, ValueError):
+            files.remove(t._written)
 
 
 def text_hash(col: Column) -> Column:

@@ -29,3 +29,8 @@ def read(folder: str, name: str) -> bytes:
     system, path = at(folder)
     with system.open_input_stream(f"{path}/{name}", compression=None) as f:
         return f.read()
+
+
+def remove(folder: str) -> None:
+    system, path = at(folder)
+    system.delete_dir(path)

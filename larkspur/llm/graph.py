@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import drop, materialize
 
 #: Edges in one part of a table.
 PART_ROWS = 50_000
@@ -25,13 +25,16 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u is not null and v is not null and u <> v").distinct()
     e, seen = materialize(e.coalesce(k), "edges"), None
     for _ in range(most_rounds):
+        last = e
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         low = materialize(low.coalesce(k), "minima")
         large = materialize(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(k), "large")
+        drop(low)
         low = materialize(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(k), "minima")
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u <> v").distinct()
         e = materialize(small.coalesce(k), "edges")
+        drop(last, low, large)
         now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if seen == tuple(now):
             break

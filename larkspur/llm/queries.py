@@ -44,7 +44,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.cut_repeats(_table(spark, sf_dir, "documents"))
+    return suffixes.cut_repeats(_table(spark, sf_dir, "documents"), words=suffixes.WORDS)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,14 +7,15 @@ included. Sorting every suffix of the corpus would move many times its size, so
    equal windows have equal anchors at equal places. Anchors are some LENGTH / 2 bytes apart. Those whose gram occurs
    once in the corpus are dropped: their windows are unique.
 2. The window starts of an anchor are cut into slices of at most WIDTH starts by their distance to the anchor. All
-   windows of a slice contain a common core; slices are counted by (core, content), with map-side sums. Slices whose
-   content recurs are duplicates throughout, and one of them stands for all in what follows.
-3. Slices that differ but share a core (of some 270 bytes at least) meet in one task, which sorts their suffixes by
-   bucket-pointer refinement (`duplicate_starts`) down to LENGTH bytes. A core with more than MOST different slices is
-   cut to single windows, which are counted by content instead: exact for groups of any size.
-4. The covered intervals are joined to their texts, merged and cut out.
-
-Equal contents are recognised by 128-bit BLAKE2b in step 2 and by the bytes themselves in step 3.
+   windows of a slice contain a common core. Slices of one core and content are a class; one of them stands for it, and
+   carries whether the class has several.
+3. The classes of a core (of some 270 bytes at least) meet in one task, which sorts their suffixes by bucket-pointer
+   refinement (`refined`) and keeps the starts whose LENGTH bytes recur, in another class or in several members of one.
+   A core with more than MOST classes is cut to single windows, which are counted by content instead: exact for groups
+   of any size.
+4. What was found for a class holds for its members; their intervals are joined to the texts, merged and cut out.
+
+Equal contents are recognised by 128-bit BLAKE2b in step 2 (and for cores above MOST), by the bytes themselves in step 3.
 """
 
 from __future__ import annotations
@@ -27,9 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, groups, materialize, mix64, text_hash, utf8
+from ._common import chunks, drop, groups, materialize, mix64, text_hash, utf8
+from .jaccard import word_hashes
 
 LENGTH, SEED, WIDTH, MOST = 400, 32, 128, 20_000
+#: Suffixes in one sort of the refinement, and words of the shortest run that `shared_words` reports.
+STEP, WORDS = 1 << 17, 51
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -82,42 +86,86 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def duplicate_starts(text: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Whether each place of `text` starts a `length`-byte string that starts elsewhere in it too; `ends` closes each piece.
+def refined(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(suffixes of `text` in order, pointer of each suffix, its first 8 bytes as a number); suffixes that share `length` bytes may share a pointer.
 
-    Bucket-pointer refinement: suffixes begin in buckets of equal 8-byte grams, each named by a pointer. A bucket of
-    several is refined by sorting its suffixes by the pointers found at the depth reached so far, which doubles the
-    depth; the refined pointers serve the next pass, down to `length`. Places too near their piece's end drop out.
+    Bucket-pointer refinement. Suffixes begin in buckets of equal 8-byte grams; a pointer is the place of its bucket. A
+    bucket of depth d (all its suffixes share d bytes) is refined by sorting on the pointers found d bytes later, and the
+    parts are refined in turn, before any other bucket, until they hold one suffix or share `length` bytes. New pointers
+    are in force at once: every later sort reads them, so a part's depth is d and the depth that the bucket pointed to has
+    reached by then. `STEP` suffixes, in whole buckets, are sorted by one call.
     """
     n = len(text)
-    pointer = np.zeros(n, np.int64)
-    close = np.repeat(ends, np.diff(np.append(0, ends)))  # end of each place's piece
-    live = np.flatnonzero(np.arange(n) + length <= close)
-    if n < 8 or not len(live):
-        return np.zeros(n, bool)
-    eight = np.append(np.ndarray((n - 7,), "<u8", np.ascontiguousarray(text).tobytes(), 0, (1,)), np.zeros(7, np.uint64))
+    eight = np.zeros(n, np.uint64)
+    if n >= 8:
+        eight[: n - 7] = np.ndarray((n - 7,), ">u8", np.ascontiguousarray(text).tobytes(), 0, (1,))
+    for i in range(max(0, n - 7), n):
+        eight[i] = int.from_bytes(text[i:].tobytes().ljust(8, b"\0"), "big")
     order = np.argsort(eight, kind="stable")
-    change = np.flatnonzero(np.append(True, eight[order][1:] != eight[order][:-1]))
-    size = np.diff(np.append(change, n))
-    pointer[order] = np.repeat(change, size)
-    several = np.zeros(n, bool)
-    several[order] = np.repeat(size > 1, size)
-    depth = 8
-    while depth < length:
-        step = min(depth, length - depth)
-        active = np.flatnonzero(several & (np.arange(n) + depth + step <= close))
-        key = pointer[active].astype(np.uint64) << np.uint64(32) | pointer[active + step].astype(np.uint64)
-        order = np.argsort(key, kind="stable")
-        key, active = key[order], active[order]
-        change = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        size = np.diff(np.append(change, len(key)))
-        old = pointer[active[change]]
-        outer = np.maximum.accumulate(np.where(np.append(True, old[1:] != old[:-1]), change, 0)) if len(old) else old
-        pointer[active] = np.repeat(old + (change - outer), size)  # its own range of places stays a bucket's
-        several[:] = False
-        several[active] = np.repeat(size > 1, size)
-        depth += step
-    return several
+    start = np.flatnonzero(np.append(True, eight[order][1:] != eight[order][:-1])[:n])
+    size = np.diff(np.append(start, n))
+    pointer, deep = np.zeros(n + 1, np.int64), np.full(n + 1, 8)  # the end points before all
+    pointer[order] = np.repeat(start, size) + 1
+    deep[n] = length
+    stack: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def put(start: np.ndarray, size: np.ndarray) -> None:
+        block = np.cumsum(size) // STEP
+        cuts = np.flatnonzero(np.diff(block)) + 1
+        stack.extend(reversed(list(zip(np.split(start, cuts), np.split(size, cuts), strict=True))))
+
+    put(start[size > 1], size[size > 1])
+    while stack:
+        start, size = stack.pop()
+        total = int(size.sum())
+        if not total:
+            continue
+        at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(total)
+        who = order[at]
+        later = np.minimum(who + deep[who], n)
+        key = np.repeat(np.arange(len(start)), size) << 32 | pointer[later]
+        rank = np.argsort(key, kind="stable")
+        who, key = who[rank], key[rank]
+        order[at] = who
+        part = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(part, total))
+        pointer[who] = np.repeat(at[part], size) + 1
+        deep[who] += deep[later[rank]]
+        more = (size > 1) & (deep[who[part]] < length)
+        put(at[part[more]], size[more])
+    return order, pointer[:n], eight
+
+
+def duplicate_starts(text: np.ndarray, ends: np.ndarray, length: int = LENGTH, several: np.ndarray | None = None, owner: np.ndarray | None = None) -> np.ndarray:
+    """Whether each place of `text` starts a `length`-byte string that starts elsewhere in it too; `ends` closes each piece.
+
+    Suffixes that begin equally are neighbours in the order of `refined`. Of neighbours with different pointers, which
+    may still share `length` bytes, the bytes are compared. Pieces marked in `several` recur outside the text too. With
+    `owner` (a number for each piece) a string counts only if pieces of two owners, or one marked, hold it.
+    """
+    n = len(text)
+    piece = np.repeat(np.arange(len(ends)), np.diff(np.append(0, ends)))
+    twice = np.zeros(n, bool)
+    order, pointer, eight = refined(text, length)
+    live = order[order + length <= ends[piece[order]]] if n else order
+    if not len(live):
+        return twice
+    apart = np.append(True, pointer[live[1:]] != pointer[live[:-1]])
+    asked = np.flatnonzero(apart[1:])
+    for k in (length - 8, *range(0, length - 8, 8)):
+        asked = asked[eight[live[asked] + k] == eight[live[asked + 1] + k]]
+    apart[asked + 1] = False
+    first = np.flatnonzero(apart)
+    size = np.diff(np.append(first, len(live)))
+    if owner is None:
+        found = size > 1
+    else:
+        own = owner[piece[live]]
+        found = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
+    if several is not None:
+        found |= np.maximum.reduceat(several[piece[live]], first)
+    twice[live] = np.repeat(found, size)
+    return twice
 
 
 def merge(spans: np.ndarray) -> np.ndarray:
@@ -134,14 +182,16 @@ def _ranges(length: int) -> list[tuple[int, int]]:
     return [(a, min(a + WIDTH - 1, top)) for a in range(0, top + 1, WIDTH)]
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int = MOST, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """((doc_id, h, text) of texts that may repeat something, (doc_id, h, spans) with byte intervals to remove).
+def repeated_spans(rows: DataFrame, length: int = LENGTH, most: int = MOST, across: bool = False) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, h, text) of texts that may repeat something, (doc_id, h, spans) with the byte intervals that repeat).
 
-    A text is known by doc_id and its hash h; rows that repeat both are one row of the first table.
+    rows: (doc_id long, h long, text string or binary); a text is known by doc_id and h, and rows that repeat both are one
+    row of the first table. With `across` only strings of two texts or more count.
     """
     if length < 4 * SEED:
         raise ValueError(f"length: at least {4 * SEED}")
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_hash(F.col(text)).alias("h"), F.col(text).alias("text")).filter(F.octet_length("text") >= length)
+    kind = rows.schema["text"].dataType.simpleString()
+    rows = rows.filter(F.octet_length("text") >= length)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +203,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int = MOST, doc_
     seen = materialize(rows.mapInArrow(find, "doc_id long, h long, gram long, place int"), "anchors")
     # written down, so that both sides of the join are plain exchanges and a gram that many texts share is split
     shared = materialize(seen.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"), "shared")
-    todo = seen.join(shared, "gram", "left_semi").groupBy("doc_id", "h").agg(F.collect_list("place").alias("places"))
+    todo = seen.join(shared, "gram", "left_semi").groupBy("doc_id", "h").agg(F.collect_set("place").alias("places"))
     cuts = _ranges(length)
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,48 +232,50 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int = MOST, doc_
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), batch.column(2).take(texts), pa.array(part[1], pa.int64()), pa.array(part[2], pa.binary()), pa.array(part[3], pa.int32()), pa.array(part[4], pa.int32())], names=["doc_id", "h", "text", "core", "body", "start", "starts"])
 
     todo = todo.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "places")
-    joined = rows.join(todo, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h"))).select("doc_id", "h", "text", "places")
-    both = materialize(joined.mapInArrow(slices, "doc_id long, h long, text string, core long, body binary, start int, starts int"), "slices")
+    on = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h"))
+    joined = rows.join(todo, on).select("doc_id", "h", "text", "places")
+    both = materialize(joined.mapInArrow(slices, f"doc_id long, h long, text {kind}, core long, body binary, start int, starts int"), "slices")
+    drop(seen, shared)
     texts = both.filter("start is null").select("doc_id", "h", "text")
     parts = both.filter("start is not null").drop("text")
 
-    same = parts.groupBy("core", "body").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "h", "start", "starts")).alias("one"))
-    same = materialize(same, "bodies")
-    cores = same.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    sure = parts.join(same.filter("n > 1").select("core", "body"), ["core", "body"], "left_semi").select("doc_id", "h", F.col("start").alias("a"), (F.col("start") + F.col("starts") - 1 + length).alias("b"))
-
-    meet = same.join(cores, "core").select("core", "kinds", "one.*", "n")
-    asked = meet.groupBy("doc_id", "h").agg(F.collect_list(F.struct("core", (F.col("kinds") > most).alias("hot"), "start", "starts", "n")).alias("slices"))
+    # a class is one content of a slice, and one of its members stands for it
+    who = F.struct("doc_id", "h")
+    several = F.min(who) != F.max(who) if across else F.count(F.lit(1)) > 1
+    classes = materialize(parts.groupBy("core", "body").agg(several.alias("several"), F.min(F.struct("doc_id", "h", "start", "starts")).alias("one")), "classes")
+    cores = classes.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.max("several").alias("again")).filter("kinds > 1 or again")
+    meet = classes.join(cores, "core").select("core", "body", "several", (F.col("kinds") > most).alias("hot"), "one.*")
+    asked = meet.groupBy("doc_id", "h").agg(F.collect_list(F.struct("core", "body", "several", "hot", "start", "starts")).alias("slices"))
     asked = asked.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "slices")
     once = texts.dropDuplicates(["doc_id", "h"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = utf8(batch.column(2))
-            raw, lists = buf.tobytes(), batch.column(3)
+            raw, lists = buf.tobytes(), batch.column(4)
+            owners = batch.column(3).to_pylist()
             out, size = [], 0
             for i in range(batch.num_rows):
                 for x in lists[i].as_py():
                     at = int(offsets[i]) + x["start"]
-                    if x["hot"]:  # one row for each window, keyed by its content
-                        for k in range(x["starts"]):
-                            window = raw[at + k : at + k + length]
-                            out.append((i, int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True), window, x["start"] + k, 1, True))
+                    if x["hot"]:  # a row for each window, known by 128 bits of its content
+                        out += [(x["core"], x["body"], x["several"], owners[i], k, hashlib.blake2b(raw[at + k : at + k + length], digest_size=16).digest(), True) for k in range(x["starts"])]
+                        size += 64 * x["starts"]
                     else:
-                        out.append((i, x["core"], raw[at : at + x["starts"] - 1 + length], x["start"], x["starts"], False))
-                    size += x["starts"] + length
-                    if size > 1 << 22 or i == batch.num_rows - 1:
-                        yield batch_of(batch, out)
+                        out.append((x["core"], x["body"], x["several"], owners[i], 0, raw[at : at + x["starts"] - 1 + length], False))
+                        size += x["starts"] + length
+                    if size > 1 << 22:
+                        yield batch_of(out)
                         out, size = [], 0
             if out:
-                yield batch_of(batch, out)
+                yield batch_of(out)
 
-    def batch_of(batch: pa.RecordBatch, out: list[tuple]) -> pa.RecordBatch:
-        c = list(zip(*out, strict=True))
-        pick = pa.array(c[0])
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(c[1], pa.int64()), pa.array(c[2], pa.binary()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int32()), pa.array(c[5], pa.bool_())], names=["doc_id", "h", "core", "bytes", "start", "starts", "hot"])
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        types = (pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["core", "body", "several", "owner", "first", "bytes", "hot"])
 
-    fetched = once.join(asked, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h"))).select("doc_id", "h", "text", "slices").mapInArrow(fetch, "doc_id long, h long, core long, bytes binary, start int, starts int, hot boolean")
+    own = F.xxhash64("doc_id", "h").alias("owner")
+    fetched = once.join(asked, on).select("doc_id", "h", "text", own, "slices").mapInArrow(fetch, "core long, body binary, several boolean, owner long, first int, bytes binary, hot boolean")
     fetched = materialize(fetched, "fetched")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,37 +291,86 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int = MOST, doc_
             yield from sorted_slices(pa.concat_tables(held))
 
     def sorted_slices(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        t = t.combine_chunks()
         buf, offsets = utf8(t.column("bytes").combine_chunks())
-        twice = duplicate_starts(buf, offsets[1:], length)
-        start = t.column("start").to_numpy()
+        twice = duplicate_starts(buf, offsets[1:], length, t.column("several").to_numpy(), t.column("owner").to_numpy() if across else None)
         edge = np.diff(np.concatenate([[0], twice.astype(np.int8), [0]]))
         a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        if not len(a):
-            return
-        which = np.searchsorted(offsets, a, "right") - 1  # a slice's last length - 1 places start nothing, so no run crosses
-        pick = pa.array(which)
-        shift = start[which] - offsets[which]
-        t = t.combine_chunks()
-        cols = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (t.column("doc_id"), t.column("h"))]
-        yield pa.RecordBatch.from_arrays([*(x.take(pick) for x in cols), pa.array((a + shift).astype(np.int32)), pa.array((b + shift - 1 + length).astype(np.int32))], names=["doc_id", "h", "a", "b"])
+        if len(a):
+            which = np.searchsorted(offsets, a, "right") - 1  # a slice's last length - 1 places start nothing, so no run crosses
+            pick = pa.array(which)
+            cols = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (t.column("core"), t.column("body"))]
+            yield pa.RecordBatch.from_arrays([*(x.take(pick) for x in cols), pa.array((a - offsets[which]).astype(np.int32)), pa.array((b - offsets[which]).astype(np.int32))], names=["core", "body", "low", "high"])
+
+    usual = fetched.filter("not hot").drop("hot", "first").repartition("core").sortWithinPartitions("core")
+    found = usual.mapInArrow(sort, "core long, body binary, low int, high int")
+    hot = fetched.filter("hot").withColumnRenamed("bytes", "window")
+    held_by_many = F.max("several") | ((F.min("owner") != F.max("owner")) if across else (F.count(F.lit(1)) > 1))
+    many = hot.groupBy("window").agg(held_by_many.alias("yes")).filter("yes")
+    found = found.union(hot.join(many, "window", "left_semi").select("core", "body", F.col("first").alias("low"), (F.col("first") + 1).alias("high")))
+    # what holds for a class holds for each of its members
+    found = materialize(found.groupBy("core", "body").agg(F.collect_list(F.struct("low", "high")).alias("runs")), "runs")
+    drop(classes, fetched)
+    runs = parts.join(found, ["core", "body"]).select("doc_id", "h", F.explode(F.transform("runs", lambda r: F.struct((F.col("start") + r["low"]).alias("a"), (F.col("start") + r["high"] - 1 + length).alias("b")))).alias("x"))
+    return once, runs.groupBy("doc_id", "h").agg(F.collect_set("x").alias("spans"))
+
+
+def _identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_hash(F.col(text)).alias("h"), F.col(text).alias("text"))
 
-    usual = fetched.filter("not hot").drop("hot", "starts").repartition("core").sortWithinPartitions("core")
-    found = usual.mapInArrow(sort, "doc_id long, h long, a int, b int")
-    hot = fetched.filter("hot").withColumn("key", F.sha2("bytes", 256)).drop("bytes")
-    many = hot.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    found = found.union(hot.join(many, "key", "left_semi").select("doc_id", "h", F.col("start").alias("a"), (F.col("start") + length).alias("b")))
-    spans = found.union(sure).groupBy("doc_id", "h").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    return once, spans
 
+def shared_words(docs: DataFrame, words: int = WORDS, most: int = MOST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, h, n_shared_words): words within runs of `words` words or more that another text holds too; texts without any are left out.
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
+    The same method over words in place of bytes: each word of a text (a run of other bytes than ASCII white space) is
+    written as 32 bits of its hash, so white space between words doesn't matter, and runs of equal bytes are runs of equal
+    words. Rows are documents here: those that repeat id and text are one.
+    """
+    unit = 4
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offsets = utf8(batch.column(2))
+            for a, b in chunks(offsets):
+                h, first = word_hashes(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                raw = (h >> np.uint64(32)).astype("<u4").tobytes()
+                bodies = pa.array([raw[unit * i : unit * j] for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), bodies], names=["doc_id", "h", "text"])
+
+    rows = _identified(docs, doc_id, text).mapInArrow(stream, "doc_id long, h long, text binary")
+    once, spans = repeated_spans(rows, unit * words, most, across=True)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            values, at = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            ab = np.stack([values.field(k).to_numpy() for k in (0, 1)], 1).astype(np.int64)
+            n = []
+            for i in range(batch.num_rows):
+                runs = merge(ab[at[i] : at[i + 1]])
+                inside = runs[:, 1] // unit + -runs[:, 0] // unit  # whole words
+                n.append(int(inside[inside >= words].sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["doc_id", "h", "n_shared_words"])
+
+    return spans.select("doc_id", "h", "spans").mapInArrow(count, "doc_id long, h long, n_shared_words long").filter("n_shared_words > 0")
+
+
+def cut_repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST, doc_id: str = "doc_id", text: str = "text", with_text: bool = False, words: int | None = None) -> DataFrame:
     """Per row of `docs`: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept: the remaining bytes, if asked).
 
+    With `words`, also n_shared_words and shares_passage: the words in runs of so many or more that another document
+    holds as well, and whether there are any. What is removed doesn't depend on them.
+
     Defined results: a null or empty text has 0 bytes and the SHA-256 of nothing; a text of fewer bytes than `length`
-    loses nothing; rows that repeat are texts of their own, so both lose what they share; an empty table gives no rows;
-    other columns are ignored.
+    loses nothing; a very long text is worked on in strides of 8 MB that overlap by a window, with the same results; rows
+    that repeat are texts of their own, so both lose what they share; an empty table gives no rows; other columns are
+    ignored.
     """
-    once, spans = repeated_spans(docs, length, most, doc_id, text)
+    passages = None
+    if words is not None:
+        passages = materialize(shared_words(docs, words, most, doc_id, text), "passages")
+        passages = passages.select(F.col("doc_id").alias("_p"), F.col("h").alias("_g"), "n_shared_words")
+    once, spans = repeated_spans(_identified(docs, doc_id, text), length, most)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,6 +397,9 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST, doc_id:
         changed = changed.drop("rest")
     whole = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_hash(F.col(text)).alias("h"), F.octet_length(whole).cast("long").alias("n_bytes"), F.sha2(whole, 256).alias("own"), *([whole.alias("all")] if with_text else []))
-    rows = rows.join(changed, on, "left")
+    rows, more = rows.join(changed, on, "left"), []
+    if passages is not None:
+        rows = rows.join(passages, F.col("doc_id").eqNullSafe(F.col("_p")) & (F.col("h") == F.col("_g")), "left")
+        more = [F.coalesce("n_shared_words", F.lit(0).cast("long")).alias("n_shared_words"), F.col("n_shared_words").isNotNull().alias("shares_passage")]
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return rows.select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("sha", "own").alias("kept_sha256"), *([F.coalesce("rest", "all").alias("kept")] if with_text else []))
+    return rows.select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("sha", "own").alias("kept_sha256"), *more, *([F.coalesce("rest", "all").alias("kept")] if with_text else []))
