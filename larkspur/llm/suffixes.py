@@ -11,8 +11,8 @@ included. Sorting every suffix of the corpus would move many times its size, so
    carries whether the class has several.
 3. The classes of a core (of some 270 bytes at least) meet in one task, which sorts their suffixes by bucket-pointer
    refinement (`refined`) and keeps the starts whose LENGTH bytes recur, in another class or in several members of one.
-   A core with more than MOST classes is cut to single windows, which are counted by content instead: exact for groups
-   of any size.
+   (The only class of a core has nothing to refine: it recurs if it has several members.) A core with more than MOST
+   classes is cut to single windows, which are counted by content instead: exact for groups of any size.
 4. What was found for a class holds for its members; their intervals are joined to the texts, merged and cut out.
 
 Equal contents are recognised by 128-bit BLAKE2b in step 2 (and for cores above MOST), by the bytes themselves in step 3.
@@ -37,33 +37,36 @@ STEP, WORDS = 1 << 17, 51
 _PLACE = np.uint64((1 << 24) - 1)
 
 
-def _grams(buf: np.ndarray) -> np.ndarray:
-    """Hash of the SEED bytes from each place that has them."""
-    n = len(buf) - SEED + 1
-    if n <= 0:
+def _grams(buf: np.ndarray, unit: int = 1) -> np.ndarray:
+    """Hash of the SEED bytes from each place, a multiple of `unit`, that has them."""
+    n = (len(buf) - SEED) // unit + 1
+    if len(buf) < SEED:
         return np.zeros(0, np.uint64)
-    eight = np.ndarray((len(buf) - 7,), "<u8", np.ascontiguousarray(buf).tobytes(), 0, (1,)).astype(np.uint64)
+    raw = np.ascontiguousarray(buf).tobytes()
     h = np.zeros(n, np.uint64)
     for k in range(0, SEED, 8):
-        h += eight[k : k + n] * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x51ED270B)
+        h += np.ndarray((n,), "<u8", raw, k, (unit,)) * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x51ED270B)
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
     return mix64(h)
 
 
-def anchors(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(text, gram hash, place, first window start, last window start) of each anchor; places count in `buf`."""
+def anchors(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, unit: int = 1) -> tuple[np.ndarray, ...]:
+    """(text, gram hash, place, first window start, last window start) of each anchor; places count in `buf`.
+
+    Texts are whole symbols of `unit` bytes, and so is `length`; windows and grams start where symbols do.
+    """
     found: list[tuple[np.ndarray, ...]] = []
     for a, b in chunks(offsets):
         base, part = offsets[a], buf[offsets[a] : offsets[b]]
         ends = offsets[a + 1 : b + 1] - base
-        span = length - SEED + 1  # grams in a window
+        span = (length - SEED) // unit + 1  # grams in a window
         for low in range(0, max(1, len(part) - length + 1), 1 << 23):  # places fit 24 bits
-            piece = part[low : low + (1 << 23) + length - 1]
-            g = _grams(piece)
-            n = len(piece) - length + 1
-            if n <= 0:
+            piece = part[low : low + (1 << 23) + length - unit]
+            n = (len(piece) - length) // unit + 1
+            if len(piece) < length:
                 continue
+            g = _grams(piece, unit)
             key = (g & ~_PLACE) | np.arange(len(g), dtype=np.uint64)
             pad = -len(key) % span
             grid = np.append(key, np.full(pad, np.uint64(0xFFFFFFFFFFFFFFFF))).reshape(-1, span)
@@ -71,8 +74,8 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple
             back = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].reshape(-1)
             at = (np.minimum(back[:n], fore[span - 1 : span - 1 + n]) & _PLACE).astype(np.int64)
             starts = np.arange(n)
-            text = np.searchsorted(ends, starts + low, "right")
-            whole = starts + low + length <= ends[np.minimum(text, len(ends) - 1)]
+            text = np.searchsorted(ends, starts * unit + low, "right")
+            whole = starts * unit + low + length <= ends[np.minimum(text, len(ends) - 1)]
             starts, at, text = starts[whole], at[whole], text[whole]
             if not len(starts):
                 continue
@@ -80,20 +83,23 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple
             new[1:] = (at[1:] != at[:-1]) | (text[1:] != text[:-1])
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(starts)) - 1
-            found.append((text[first] + a, g[at[first]], at[first] + low + base, starts[first] + low + base, starts[last] + low + base))
+            found.append((text[first] + a, g[at[first]], at[first] * unit + low + base, starts[first] * unit + low + base, starts[last] * unit + low + base))
     if not found:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def refined(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(suffixes of `text` in order, pointer of each suffix, its first 8 bytes as a number); suffixes that share `length` bytes may share a pointer.
+def refined(text: np.ndarray, close: np.ndarray, length: int, todo: np.ndarray, kind: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(suffixes `todo` in order, pointer of each place, its first 8 bytes as a number).
+
+    Bucket-pointer refinement of the suffixes at the places `todo`, each of which ends at close[place]. Suffixes begin in
+    buckets of equal kind and equal 8-byte gram; a pointer is the place of its bucket. A bucket of depth d (its suffixes
+    share d bytes, or end before) is refined by sorting on the pointers found d bytes later, and the parts are refined in
+    turn, before any other bucket, until they hold one suffix or share `length` bytes. New pointers are in force at once:
+    every later sort reads them, so a part's depth is d and the depth that the bucket pointed to has reached by then.
+    `STEP` suffixes, in whole buckets, are sorted by one call.
 
-    Bucket-pointer refinement. Suffixes begin in buckets of equal 8-byte grams; a pointer is the place of its bucket. A
-    bucket of depth d (all its suffixes share d bytes) is refined by sorting on the pointers found d bytes later, and the
-    parts are refined in turn, before any other bucket, until they hold one suffix or share `length` bytes. New pointers
-    are in force at once: every later sort reads them, so a part's depth is d and the depth that the bucket pointed to has
-    reached by then. `STEP` suffixes, in whole buckets, are sorted by one call.
+    known: 0, or the bytes from a place on that all places of its kind share; such places are a bucket as they are.
     """
     n = len(text)
     eight = np.zeros(n, np.uint64)
@@ -101,12 +107,16 @@ def refined(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndar
         eight[: n - 7] = np.ndarray((n - 7,), ">u8", np.ascontiguousarray(text).tobytes(), 0, (1,))
     for i in range(max(0, n - 7), n):
         eight[i] = int.from_bytes(text[i:].tobytes().ljust(8, b"\0"), "big")
-    order = np.argsort(eight, kind="stable")
-    start = np.flatnonzero(np.append(True, eight[order][1:] != eight[order][:-1])[:n])
-    size = np.diff(np.append(start, n))
-    pointer, deep = np.zeros(n + 1, np.int64), np.full(n + 1, 8)  # the end points before all
+    short = todo[close[todo] - todo < 8]
+    eight[short] &= ~np.uint64(0) << (np.uint64(8) * (8 - (close[short] - short)).astype(np.uint64))
+    order = todo[np.lexsort((eight[todo], kind[todo]))]
+    pointer, deep = np.zeros(n, np.int64), np.full(n, 8)
+    free = np.flatnonzero(known)
+    pointer[free], deep[free] = n + 1 + kind[free], known[free]
+    new = np.append(True, (eight[order][1:] != eight[order][:-1]) | (kind[order][1:] != kind[order][:-1]))[: len(order)]
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, len(order)))
     pointer[order] = np.repeat(start, size) + 1
-    deep[n] = length
     stack: list[tuple[np.ndarray, np.ndarray]] = []
 
     def put(start: np.ndarray, size: np.ndarray) -> None:
@@ -122,36 +132,53 @@ def refined(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndar
             continue
         at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(total)
         who = order[at]
-        later = np.minimum(who + deep[who], n)
-        key = np.repeat(np.arange(len(start)), size) << 32 | pointer[later]
+        later = who + deep[who]
+        over = later >= close[who]  # it has ended: before all others
+        later[over] = 0
+        key = np.repeat(np.arange(len(start)), size) << 32 | np.where(over, 0, pointer[later])
+        gain = np.where(over, length, deep[later])
         rank = np.argsort(key, kind="stable")
         who, key = who[rank], key[rank]
         order[at] = who
         part = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(part, total))
         pointer[who] = np.repeat(at[part], size) + 1
-        deep[who] += deep[later[rank]]
+        deep[who] += gain[rank]
         more = (size > 1) & (deep[who[part]] < length)
         put(at[part[more]], size[more])
-    return order, pointer[:n], eight
+    return order, pointer, eight
 
 
-def duplicate_starts(text: np.ndarray, ends: np.ndarray, length: int = LENGTH, several: np.ndarray | None = None, owner: np.ndarray | None = None) -> np.ndarray:
+def duplicate_starts(text: np.ndarray, ends: np.ndarray, length: int = LENGTH, several: np.ndarray | None = None, owner: np.ndarray | None = None, unit: int = 1, core: np.ndarray | None = None, lead: np.ndarray | None = None) -> np.ndarray:
     """Whether each place of `text` starts a `length`-byte string that starts elsewhere in it too; `ends` closes each piece.
 
     Suffixes that begin equally are neighbours in the order of `refined`. Of neighbours with different pointers, which
     may still share `length` bytes, the bytes are compared. Pieces marked in `several` recur outside the text too. With
     `owner` (a number for each piece) a string counts only if pieces of two owners, or one marked, hold it.
+
+    With `core` (a number) and `lead` (bytes from the first start to the anchor) for each piece, which is a slice then,
+    equal strings are known to have one core at one distance: these two are a suffix's kind, and the core isn't sorted.
     """
     n = len(text)
-    piece = np.repeat(np.arange(len(ends)), np.diff(np.append(0, ends)))
     twice = np.zeros(n, bool)
-    order, pointer, eight = refined(text, length)
-    live = order[order + length <= ends[piece[order]]] if n else order
+    if not n:
+        return twice
+    size = np.diff(np.append(0, ends))
+    piece = np.repeat(np.arange(len(ends)), size)
+    close, inside = ends[piece], np.arange(n) - (ends - size)[piece]
+    kind, known = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    if core is not None:
+        near = lead // WIDTH * WIDTH
+        far = np.minimum(near + WIDTH - unit, length - SEED)
+        kind = (np.unique(core, return_inverse=True)[1] * 4 * length + lead + 2 * length)[piece] - inside
+        top = (lead - far + length)[piece]
+        known = np.where((inside > (lead - near)[piece]) & (inside < top), top - inside, 0)
+    order, pointer, eight = refined(text, close, length, np.flatnonzero((inside % unit == 0) & (known == 0)), kind, known)
+    live = order[order + length <= close[order]]
     if not len(live):
         return twice
-    apart = np.append(True, pointer[live[1:]] != pointer[live[:-1]])
-    asked = np.flatnonzero(apart[1:])
+    apart = np.append(True, (pointer[live[1:]] != pointer[live[:-1]]) | (kind[live[1:]] != kind[live[:-1]]))
+    asked = np.flatnonzero(apart[1:] & (kind[live[1:]] == kind[live[:-1]]))
     for k in (length - 8, *range(0, length - 8, 8)):
         asked = asked[eight[live[asked] + k] == eight[live[asked + 1] + k]]
     apart[asked + 1] = False
@@ -177,16 +204,16 @@ def merge(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[first, 0], reach[np.append(first[1:], len(spans)) - 1]], 1)
 
 
-def _ranges(length: int) -> list[tuple[int, int]]:
+def _ranges(length: int, unit: int = 1) -> list[tuple[int, int]]:
     top = length - SEED
-    return [(a, min(a + WIDTH - 1, top)) for a in range(0, top + 1, WIDTH)]
+    return [(a, min(a + WIDTH - unit, top)) for a in range(0, top + 1, WIDTH)]
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH, most: int = MOST, across: bool = False) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(rows: DataFrame, length: int = LENGTH, most: int = MOST, across: bool = False, unit: int = 1) -> tuple[DataFrame, DataFrame]:
     """((doc_id, h, text) of texts that may repeat something, (doc_id, h, spans) with the byte intervals that repeat).
 
     rows: (doc_id long, h long, text string or binary); a text is known by doc_id and h, and rows that repeat both are one
-    row of the first table. With `across` only strings of two texts or more count.
+    row of the first table. With `across` only strings of two texts or more count. Symbols are of `unit` bytes.
     """
     if length < 4 * SEED:
         raise ValueError(f"length: at least {4 * SEED}")
@@ -196,7 +223,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, most: int = MOST, acro
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = utf8(batch.column(2))
-            which, gram, place, _, _ = anchors(buf, offsets, length)
+            which, gram, place, _, _ = anchors(buf, offsets, length, unit)
             pick = pa.array(which)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(gram.view(np.int64)), pa.array((place - offsets[which]).astype(np.int32))], names=["doc_id", "h", "gram", "place"])
 
@@ -204,19 +231,19 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, most: int = MOST, acro
     # written down, so that both sides of the join are plain exchanges and a gram that many texts share is split
     shared = materialize(seen.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"), "shared")
     todo = seen.join(shared, "gram", "left_semi").groupBy("doc_id", "h").agg(F.collect_set("place").alias("places"))
-    cuts = _ranges(length)
+    cuts = _ranges(length, unit)
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of two kinds: a text (start null), and each of its slices."""
         for batch in batches:
             buf, offsets = utf8(batch.column(2))
-            which, gram, place, low, high = anchors(buf, offsets, length)
+            which, gram, place, low, high = anchors(buf, offsets, length, unit)
             wanted = [np.array(x) for x in batch.column(3).to_pylist()]
             raw = buf.tobytes()
             out: list[tuple] = []
             bounds = np.searchsorted(which, np.arange(batch.num_rows + 1))
             for i in range(batch.num_rows):
-                out.append((i, None, None, None, None))
+                out.append((i, None, None, None, None, None))
                 for j in bounds[i] + np.flatnonzero(np.isin(place[bounds[i] : bounds[i + 1]] - offsets[i], wanted[i])):
                     p, s0, s1 = int(place[j]), int(low[j]), int(high[j])
                     for near, far in cuts:
@@ -224,17 +251,17 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, most: int = MOST, acro
                         if a <= b:
                             core = hashlib.blake2b(raw[p - near : p - far + length] + bytes([near // WIDTH]), digest_size=8).digest()
                             body = hashlib.blake2b(raw[a : b + length] + (p - a).to_bytes(4, "little"), digest_size=16).digest()
-                            out.append((i, int.from_bytes(core, "little", signed=True), body, a - int(offsets[i]), b - a + 1))
+                            out.append((i, int.from_bytes(core, "little", signed=True), body, a - int(offsets[i]), (b - a) // unit + 1, p - a))
             for c in range(0, len(out), 4096):
                 part = list(zip(*out[c : c + 4096], strict=True))
                 pick = pa.array(part[0])
                 texts = pa.array([k if s is None else None for k, s in zip(part[0], part[3], strict=True)], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), batch.column(2).take(texts), pa.array(part[1], pa.int64()), pa.array(part[2], pa.binary()), pa.array(part[3], pa.int32()), pa.array(part[4], pa.int32())], names=["doc_id", "h", "text", "core", "body", "start", "starts"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), batch.column(2).take(texts), pa.array(part[1], pa.int64()), pa.array(part[2], pa.binary()), pa.array(part[3], pa.int32()), pa.array(part[4], pa.int32()), pa.array(part[5], pa.int32())], names=["doc_id", "h", "text", "core", "body", "start", "starts", "lead"])
 
     todo = todo.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "places")
     on = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h"))
     joined = rows.join(todo, on).select("doc_id", "h", "text", "places")
-    both = materialize(joined.mapInArrow(slices, f"doc_id long, h long, text {kind}, core long, body binary, start int, starts int"), "slices")
+    both = materialize(joined.mapInArrow(slices, f"doc_id long, h long, text {kind}, core long, body binary, start int, starts int, lead int"), "slices")
     drop(seen, shared)
     texts = both.filter("start is null").select("doc_id", "h", "text")
     parts = both.filter("start is not null").drop("text")
@@ -242,10 +269,10 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, most: int = MOST, acro
     # a class is one content of a slice, and one of its members stands for it
     who = F.struct("doc_id", "h")
     several = F.min(who) != F.max(who) if across else F.count(F.lit(1)) > 1
-    classes = materialize(parts.groupBy("core", "body").agg(several.alias("several"), F.min(F.struct("doc_id", "h", "start", "starts")).alias("one")), "classes")
-    cores = classes.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.max("several").alias("again")).filter("kinds > 1 or again")
+    classes = materialize(parts.groupBy("core", "body").agg(several.alias("several"), F.min(F.struct("doc_id", "h", "start", "starts", "lead")).alias("one")), "classes")
+    cores = classes.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     meet = classes.join(cores, "core").select("core", "body", "several", (F.col("kinds") > most).alias("hot"), "one.*")
-    asked = meet.groupBy("doc_id", "h").agg(F.collect_list(F.struct("core", "body", "several", "hot", "start", "starts")).alias("slices"))
+    asked = meet.groupBy("doc_id", "h").agg(F.collect_list(F.struct("core", "body", "several", "hot", "start", "starts", "lead")).alias("slices"))
     asked = asked.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "slices")
     once = texts.dropDuplicates(["doc_id", "h"])
 
@@ -259,11 +286,12 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, most: int = MOST, acro
                 for x in lists[i].as_py():
                     at = int(offsets[i]) + x["start"]
                     if x["hot"]:  # a row for each window, known by 128 bits of its content
-                        out += [(x["core"], x["body"], x["several"], owners[i], k, hashlib.blake2b(raw[at + k : at + k + length], digest_size=16).digest(), True) for k in range(x["starts"])]
+                        out += [(x["core"], x["body"], x["several"], owners[i], k, hashlib.blake2b(raw[at + k * unit : at + k * unit + length], digest_size=16).digest(), True) for k in range(x["starts"])]
                         size += 64 * x["starts"]
                     else:
-                        out.append((x["core"], x["body"], x["several"], owners[i], 0, raw[at : at + x["starts"] - 1 + length], False))
-                        size += x["starts"] + length
+                        bytes_ = (x["starts"] - 1) * unit + length
+                        out.append((x["core"], x["body"], x["several"], owners[i], x["lead"], raw[at : at + bytes_], False))
+                        size += bytes_
                     if size > 1 << 22:
                         yield batch_of(out)
                         out, size = [], 0
@@ -272,10 +300,10 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, most: int = MOST, acro
 
     def batch_of(out: list[tuple]) -> pa.RecordBatch:
         types = (pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["core", "body", "several", "owner", "first", "bytes", "hot"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["core", "body", "several", "owner", "place", "bytes", "hot"])
 
     own = F.xxhash64("doc_id", "h").alias("owner")
-    fetched = once.join(asked, on).select("doc_id", "h", "text", own, "slices").mapInArrow(fetch, "core long, body binary, several boolean, owner long, first int, bytes binary, hot boolean")
+    fetched = once.join(asked, on).select("doc_id", "h", "text", own, "slices").mapInArrow(fetch, "core long, body binary, several boolean, owner long, place int, bytes binary, hot boolean")
     fetched = materialize(fetched, "fetched")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,25 +321,28 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, most: int = MOST, acro
     def sorted_slices(t: pa.Table) -> Iterator[pa.RecordBatch]:
         t = t.combine_chunks()
         buf, offsets = utf8(t.column("bytes").combine_chunks())
-        twice = duplicate_starts(buf, offsets[1:], length, t.column("several").to_numpy(), t.column("owner").to_numpy() if across else None)
-        edge = np.diff(np.concatenate([[0], twice.astype(np.int8), [0]]))
-        a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        twice = duplicate_starts(buf, offsets[1:], length, t.column("several").to_numpy(), t.column("owner").to_numpy() if across else None, unit, t.column("core").to_numpy(), t.column("place").to_numpy().astype(np.int64))
+        edge = np.diff(np.concatenate([[0], twice[::unit].astype(np.int8), [0]]))
+        a, b = np.flatnonzero(edge == 1) * unit, np.flatnonzero(edge == -1) * unit
         if len(a):
             which = np.searchsorted(offsets, a, "right") - 1  # a slice's last length - 1 places start nothing, so no run crosses
             pick = pa.array(which)
             cols = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (t.column("core"), t.column("body"))]
-            yield pa.RecordBatch.from_arrays([*(x.take(pick) for x in cols), pa.array((a - offsets[which]).astype(np.int32)), pa.array((b - offsets[which]).astype(np.int32))], names=["core", "body", "low", "high"])
+            yield pa.RecordBatch.from_arrays([*(x.take(pick) for x in cols), pa.array(((a - offsets[which]) // unit).astype(np.int32)), pa.array(((b - offsets[which]) // unit).astype(np.int32))], names=["core", "body", "low", "high"])
 
-    usual = fetched.filter("not hot").drop("hot", "first").repartition("core").sortWithinPartitions("core")
+    usual = fetched.filter("not hot").drop("hot").repartition("core").sortWithinPartitions("core")
     found = usual.mapInArrow(sort, "core long, body binary, low int, high int")
     hot = fetched.filter("hot").withColumnRenamed("bytes", "window")
     held_by_many = F.max("several") | ((F.min("owner") != F.max("owner")) if across else (F.count(F.lit(1)) > 1))
     many = hot.groupBy("window").agg(held_by_many.alias("yes")).filter("yes")
-    found = found.union(hot.join(many, "window", "left_semi").select("core", "body", F.col("first").alias("low"), (F.col("first") + 1).alias("high")))
+    found = found.union(hot.join(many, "window", "left_semi").select("core", "body", F.col("place").alias("low"), (F.col("place") + 1).alias("high")))
+    # a core of one class has nothing to refine: its windows are as many as its members
+    alone = classes.join(cores, "core", "left_anti").filter("several").select("core", "body", F.lit(0).alias("low"), F.col("one.starts").alias("high"))
+    found = found.union(alone)
     # what holds for a class holds for each of its members
     found = materialize(found.groupBy("core", "body").agg(F.collect_list(F.struct("low", "high")).alias("runs")), "runs")
     drop(classes, fetched)
-    runs = parts.join(found, ["core", "body"]).select("doc_id", "h", F.explode(F.transform("runs", lambda r: F.struct((F.col("start") + r["low"]).alias("a"), (F.col("start") + r["high"] - 1 + length).alias("b")))).alias("x"))
+    runs = parts.join(found, ["core", "body"]).select("doc_id", "h", F.explode(F.transform("runs", lambda r: F.struct((F.col("start") + r["low"] * unit).alias("a"), (F.col("start") + (r["high"] - 1) * unit + length).alias("b")))).alias("x"))
     return once, runs.groupBy("doc_id", "h").agg(F.collect_set("x").alias("spans"))
 
 
@@ -338,7 +369,7 @@ def shared_words(docs: DataFrame, words: int = WORDS, most: int = MOST, doc_id:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), bodies], names=["doc_id", "h", "text"])
 
     rows = _identified(docs, doc_id, text).mapInArrow(stream, "doc_id long, h long, text binary")
-    once, spans = repeated_spans(rows, unit * words, most, across=True)
+    once, spans = repeated_spans(rows, unit * words, most, across=True, unit=unit)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,11 +379,10 @@ def shared_words(docs: DataFrame, words: int = WORDS, most: int = MOST, doc_id:
             n = []
             for i in range(batch.num_rows):
                 runs = merge(ab[at[i] : at[i + 1]])
-                inside = runs[:, 1] // unit + -runs[:, 0] // unit  # whole words
-                n.append(int(inside[inside >= words].sum()))
+                n.append(int((runs[:, 1] - runs[:, 0]).sum()) // unit)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["doc_id", "h", "n_shared_words"])
 
-    return spans.select("doc_id", "h", "spans").mapInArrow(count, "doc_id long, h long, n_shared_words long").filter("n_shared_words > 0")
+    return spans.select("doc_id", "h", "spans").mapInArrow(count, "doc_id long, h long, n_shared_words long")
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST, doc_id: str = "doc_id", text: str = "text", with_text: bool = False, words: int | None = None) -> DataFrame:

@@ -89,9 +89,10 @@ def test_bucket_pointers(step, monkeypatch):
 def test_order_is_that_of_the_suffixes():
     r = random.Random(9)
     text = "".join(r.choice("ab") for _ in range(3000)).encode()
-    order, pointer, _ = suffixes.refined(np.frombuffer(text, np.uint8), 1 << 20)
-    assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
-    assert len(set(pointer.tolist())) == len(text)
+    n, none = len(text), np.zeros(3000, np.int64)
+    order, pointer, _ = suffixes.refined(np.frombuffer(text, np.uint8), np.full(n, n), 1 << 20, np.arange(n), none, none)
+    assert order.tolist() == sorted(range(n), key=lambda i: text[i:])
+    assert len(set(pointer.tolist())) == n
 
 
 def test_a_text_longer_than_the_stride(spark):
