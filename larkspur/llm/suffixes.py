@@ -168,8 +168,8 @@ def duplicate_starts(text: np.ndarray, ends: np.ndarray, length: int = LENGTH, s
     close, inside = ends[piece], np.arange(n) - (ends - size)[piece]
     kind, known = np.zeros(n, np.int64), np.zeros(n, np.int64)
     if core is not None:
-        near = lead // WIDTH * WIDTH
-        far = np.minimum(near + WIDTH - unit, length - SEED)
+        near = lead // _width(length) * _width(length)
+        far = np.minimum(near + _width(length) - unit, length - SEED)
         kind = (np.unique(core, return_inverse=True)[1] * 4 * length + lead + 2 * length)[piece] - inside
         top = (lead - far + length)[piece]
         known = np.where((inside > (lead - near)[piece]) & (inside < top), top - inside, 0)
@@ -204,16 +204,20 @@ def merge(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[first, 0], reach[np.append(first[1:], len(spans)) - 1]], 1)
 
 
+def _width(length: int) -> int:
+    """Distances to the anchor in one slice: all, if windows are short."""
+    return WIDTH if length > 2 * WIDTH else length
+
+
 def _ranges(length: int, unit: int = 1) -> list[tuple[int, int]]:
-    top = length - SEED
-    return [(a, min(a + WIDTH - unit, top)) for a in range(0, top + 1, WIDTH)]
+    top, width = length - SEED, _width(length)
+    return [(a, min(a + width - unit, top)) for a in range(0, top + 1, width)]
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, most: int = MOST, across: bool = False, unit: int = 1) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, h, text) of texts that may repeat something, (doc_id, h, spans) with the byte intervals that repeat).
+    """((doc_id, h, text) of rows that may repeat something, (doc_id, h, spans) with the byte intervals that repeat).
 
-    rows: (doc_id long, h long, text string or binary); a text is known by doc_id and h, and rows that repeat both are one
-    row of the first table. With `across` only strings of two texts or more count. Symbols are of `unit` bytes.
+    rows: (doc_id long, h long, text string or binary); a text is known by doc_id and h. With `across` only strings of two texts or more count. Symbols are of `unit` bytes.
     """
     if length < 4 * SEED:
         raise ValueError(f"length: at least {4 * SEED}")
@@ -249,7 +253,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, most: int = MOST, acro
                     for near, far in cuts:
                         a, b = max(s0, p - far), min(s1, p - near)  # starts of this slice
                         if a <= b:
-                            core = hashlib.blake2b(raw[p - near : p - far + length] + bytes([near // WIDTH]), digest_size=8).digest()
+                            core = hashlib.blake2b(raw[p - near : p - far + length] + bytes([near // _width(length)]), digest_size=8).digest()
                             body = hashlib.blake2b(raw[a : b + length] + (p - a).to_bytes(4, "little"), digest_size=16).digest()
                             out.append((i, int.from_bytes(core, "little", signed=True), body, a - int(offsets[i]), (b - a) // unit + 1, p - a))
             for c in range(0, len(out), 4096):
@@ -274,7 +278,6 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, most: int = MOST, acro
     meet = classes.join(cores, "core").select("core", "body", "several", (F.col("kinds") > most).alias("hot"), "one.*")
     asked = meet.groupBy("doc_id", "h").agg(F.collect_list(F.struct("core", "body", "several", "hot", "start", "starts", "lead")).alias("slices"))
     asked = asked.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "slices")
-    once = texts.dropDuplicates(["doc_id", "h"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,7 +306,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, most: int = MOST, acro
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["core", "body", "several", "owner", "place", "bytes", "hot"])
 
     own = F.xxhash64("doc_id", "h").alias("owner")
-    fetched = once.join(asked, on).select("doc_id", "h", "text", own, "slices").mapInArrow(fetch, "core long, body binary, several boolean, owner long, place int, bytes binary, hot boolean")
+    fetched = texts.join(asked, on).select("doc_id", "h", "text", own, "slices").mapInArrow(fetch, "core long, body binary, several boolean, owner long, place int, bytes binary, hot boolean")
     fetched = materialize(fetched, "fetched")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +315,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, most: int = MOST, acro
         for t in groups(batches, ["core"]):
             held.append(t)
             size += t.nbytes
-            if size > 1 << 21:
+            if size > 1 << 20:
                 yield from sorted_slices(pa.concat_tables(held))
                 held, size = [], 0
         if held:
@@ -320,6 +323,8 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, most: int = MOST, acro
 
     def sorted_slices(t: pa.Table) -> Iterator[pa.RecordBatch]:
         t = t.combine_chunks()
+        # a text whose row repeats gave its slices more than once
+        t = t.take(pa.array(np.sort(np.unique(np.array(t.column("body").to_pylist(), "S16"), return_index=True)[1])))
         buf, offsets = utf8(t.column("bytes").combine_chunks())
         twice = duplicate_starts(buf, offsets[1:], length, t.column("several").to_numpy(), t.column("owner").to_numpy() if across else None, unit, t.column("core").to_numpy(), t.column("place").to_numpy().astype(np.int64))
         edge = np.diff(np.concatenate([[0], twice[::unit].astype(np.int8), [0]]))
@@ -332,7 +337,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, most: int = MOST, acro
 
     usual = fetched.filter("not hot").drop("hot").repartition("core").sortWithinPartitions("core")
     found = usual.mapInArrow(sort, "core long, body binary, low int, high int")
-    hot = fetched.filter("hot").withColumnRenamed("bytes", "window")
+    hot = fetched.filter("hot").withColumnRenamed("bytes", "window").dropDuplicates(["core", "body", "place"])
     held_by_many = F.max("several") | ((F.min("owner") != F.max("owner")) if across else (F.count(F.lit(1)) > 1))
     many = hot.groupBy("window").agg(held_by_many.alias("yes")).filter("yes")
     found = found.union(hot.join(many, "window", "left_semi").select("core", "body", F.col("place").alias("low"), (F.col("place") + 1).alias("high")))
@@ -343,7 +348,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, most: int = MOST, acro
     found = materialize(found.groupBy("core", "body").agg(F.collect_list(F.struct("low", "high")).alias("runs")), "runs")
     drop(classes, fetched)
     runs = parts.join(found, ["core", "body"]).select("doc_id", "h", F.explode(F.transform("runs", lambda r: F.struct((F.col("start") + r["low"] * unit).alias("a"), (F.col("start") + (r["high"] - 1) * unit + length).alias("b")))).alias("x"))
-    return once, runs.groupBy("doc_id", "h").agg(F.collect_set("x").alias("spans"))
+    return texts, runs.groupBy("doc_id", "h").agg(F.collect_set("x").alias("spans"))
 
 
 def _identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -369,7 +374,7 @@ def shared_words(docs: DataFrame, words: int = WORDS, most: int = MOST, doc_id:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), bodies], names=["doc_id", "h", "text"])
 
     rows = _identified(docs, doc_id, text).mapInArrow(stream, "doc_id long, h long, text binary")
-    once, spans = repeated_spans(rows, unit * words, most, across=True, unit=unit)
+    _, spans = repeated_spans(rows, unit * words, most, across=True, unit=unit)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -400,7 +405,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST, doc_id:
     if words is not None:
         passages = materialize(shared_words(docs, words, most, doc_id, text), "passages")
         passages = passages.select(F.col("doc_id").alias("_p"), F.col("h").alias("_g"), "n_shared_words")
-    once, spans = repeated_spans(_identified(docs, doc_id, text), length, most)
+    texts, spans = repeated_spans(_identified(docs, doc_id, text), length, most)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -422,7 +427,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST, doc_id:
 
     spans = spans.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "spans")
     on = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h"))
-    changed = once.join(spans, on).select("doc_id", "h", "text", "spans").mapInArrow(cut, "_d long, _h long, n_removed long, n_spans long, sha string, rest binary")
+    changed = texts.join(spans, on).select("doc_id", "h", "text", "spans").mapInArrow(cut, "_d long, _h long, n_removed long, n_spans long, sha string, rest binary").dropDuplicates(["_d", "_h"])
     if not with_text:
         changed = changed.drop("rest")
     whole = F.coalesce(F.col(text), F.lit("")).cast("binary")
