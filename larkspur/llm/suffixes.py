@@ -15,7 +15,8 @@ included. Sorting every suffix of the corpus would move many times its size, so
    classes is cut to single windows, which are counted by content instead: exact for groups of any size.
 4. What was found for a class holds for its members; their intervals are joined to the texts, merged and cut out.
 
-Equal contents are recognised by 128-bit BLAKE2b in step 2 (and for cores above MOST), by the bytes themselves in step 3.
+Equal contents are recognised by 128-bit BLAKE2b in step 2 (and for cores above MOST), by the bytes themselves in step 3;
+different cores of one hash do no harm, since cores are told apart by their bytes.
 """
 
 from __future__ import annotations
@@ -30,10 +31,13 @@ from pyspark.sql import functions as F
 
 from ._common import chunks, drop, groups, materialize, mix64, text_hash, utf8
 from .jaccard import word_hashes
+from .words import hashes
 
 LENGTH, SEED, WIDTH, MOST = 400, 32, 128, 20_000
 #: Suffixes in one sort of the refinement, and words of the shortest run that `shared_words` reports.
 STEP, WORDS = 1 << 17, 51
+#: Bytes that one numpy pass hashes: its arrays stay in the processor's cache.
+PASS = 1 << 17
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -57,7 +61,7 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, unit: in
     Texts are whole symbols of `unit` bytes, and so is `length`; windows and grams start where symbols do.
     """
     found: list[tuple[np.ndarray, ...]] = []
-    for a, b in chunks(offsets):
+    for a, b in chunks(offsets, PASS):
         base, part = offsets[a], buf[offsets[a] : offsets[b]]
         ends = offsets[a + 1 : b + 1] - base
         span = (length - SEED) // unit + 1  # grams in a window
@@ -149,15 +153,15 @@ def refined(text: np.ndarray, close: np.ndarray, length: int, todo: np.ndarray,
     return order, pointer, eight
 
 
-def duplicate_starts(text: np.ndarray, ends: np.ndarray, length: int = LENGTH, several: np.ndarray | None = None, owner: np.ndarray | None = None, unit: int = 1, core: np.ndarray | None = None, lead: np.ndarray | None = None) -> np.ndarray:
+def duplicate_starts(text: np.ndarray, ends: np.ndarray, length: int = LENGTH, several: np.ndarray | None = None, owner: np.ndarray | None = None, unit: int = 1, lead: np.ndarray | None = None) -> np.ndarray:
     """Whether each place of `text` starts a `length`-byte string that starts elsewhere in it too; `ends` closes each piece.
 
     Suffixes that begin equally are neighbours in the order of `refined`. Of neighbours with different pointers, which
     may still share `length` bytes, the bytes are compared. Pieces marked in `several` recur outside the text too. With
     `owner` (a number for each piece) a string counts only if pieces of two owners, or one marked, hold it.
 
-    With `core` (a number) and `lead` (bytes from the first start to the anchor) for each piece, which is a slice then,
-    equal strings are known to have one core at one distance: these two are a suffix's kind, and the core isn't sorted.
+    With `lead` (bytes from the first start to the anchor) for each piece, which is a slice then, equal strings are known
+    to have equal cores at one distance: these two are a suffix's kind, and the core isn't sorted.
     """
     n = len(text)
     twice = np.zeros(n, bool)
@@ -167,10 +171,12 @@ def duplicate_starts(text: np.ndarray, ends: np.ndarray, length: int = LENGTH, s
     piece = np.repeat(np.arange(len(ends)), size)
     close, inside = ends[piece], np.arange(n) - (ends - size)[piece]
     kind, known = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    if core is not None:
+    if lead is not None:
         near = lead // _width(length) * _width(length)
         far = np.minimum(near + _width(length) - unit, length - SEED)
-        kind = (np.unique(core, return_inverse=True)[1] * 4 * length + lead + 2 * length)[piece] - inside
+        raw, ids = text.tobytes(), {}
+        core = [ids.setdefault(raw[x:y], len(ids)) for x, y in zip((ends - size + lead - near).tolist(), (ends - size + lead - far + length).tolist(), strict=True)]
+        kind = (np.array(core) * 4 * length + lead + 2 * length)[piece] - inside
         top = (lead - far + length)[piece]
         known = np.where((inside > (lead - near)[piece]) & (inside < top), top - inside, 0)
     order, pointer, eight = refined(text, close, length, np.flatnonzero((inside % unit == 0) & (known == 0)), kind, known)
@@ -239,29 +245,30 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, most: int = MOST, acro
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of two kinds: a text (start null), and each of its slices."""
-        for batch in batches:
+        for batch in (b.slice(x, y - x) for b in batches for x, y in chunks(utf8(b.column(2))[1])):
             buf, offsets = utf8(batch.column(2))
-            which, gram, place, low, high = anchors(buf, offsets, length, unit)
-            wanted = [np.array(x) for x in batch.column(3).to_pylist()]
+            which, _, place, low, high = anchors(buf, offsets, length, unit)
+            lists = batch.column(3)
+            at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            wanted = np.repeat(offsets[:-1], np.diff(at)) + lists.flatten().to_numpy()
+            mine = np.isin(place, wanted)
+            which, place, low, high = which[mine], place[mine], low[mine], high[mine]
+            cut = [(np.maximum(low, place - far), np.minimum(high, place - near), near, far) for near, far in cuts]
+            some = [np.flatnonzero(a <= b) for a, b, _, _ in cut]
+            i = np.concatenate([which[k] for k in some])
+            a, b, p = (np.concatenate(x) for x in zip(*((c[0][k], c[1][k], place[k]) for c, k in zip(cut, some, strict=True)), strict=True))
+            core = np.concatenate([hashes(buf, place[k] - near, place[k] - far + length) ^ np.uint64(near) for (_, _, near, far), k in zip(cut, some, strict=True)]) if len(i) else np.zeros(0, np.uint64)
             raw = buf.tobytes()
-            out: list[tuple] = []
-            bounds = np.searchsorted(which, np.arange(batch.num_rows + 1))
-            for i in range(batch.num_rows):
-                out.append((i, None, None, None, None, None))
-                for j in bounds[i] + np.flatnonzero(np.isin(place[bounds[i] : bounds[i + 1]] - offsets[i], wanted[i])):
-                    p, s0, s1 = int(place[j]), int(low[j]), int(high[j])
-                    for near, far in cuts:
-                        a, b = max(s0, p - far), min(s1, p - near)  # starts of this slice
-                        if a <= b:
-                            core = hashlib.blake2b(raw[p - near : p - far + length] + bytes([near // _width(length)]), digest_size=8).digest()
-                            body = hashlib.blake2b(raw[a : b + length] + (p - a).to_bytes(4, "little"), digest_size=16).digest()
-                            out.append((i, int.from_bytes(core, "little", signed=True), body, a - int(offsets[i]), (b - a) // unit + 1, p - a))
-            for c in range(0, len(out), 4096):
-                part = list(zip(*out[c : c + 4096], strict=True))
-                pick = pa.array(part[0])
-                texts = pa.array([k if s is None else None for k, s in zip(part[0], part[3], strict=True)], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), batch.column(2).take(texts), pa.array(part[1], pa.int64()), pa.array(part[2], pa.binary()), pa.array(part[3], pa.int32()), pa.array(part[4], pa.int32()), pa.array(part[5], pa.int32())], names=["doc_id", "h", "text", "core", "body", "start", "starts", "lead"])
-
+            for c in range(0, len(i), 4096):
+                part = slice(c, c + 4096)
+                pick = pa.array(i[part])
+                body = [hashlib.blake2b(raw[x:y], digest_size=16, salt=z.to_bytes(4, "little")).digest() for x, y, z in zip(a[part].tolist(), (b[part] + length).tolist(), (p - a)[part].tolist(), strict=True)]
+                numbers = [(a - offsets[i])[part], ((b - a) // unit + 1)[part], (p - a)[part]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.nulls(len(pick), batch.column(2).type), pa.array(core[part].view(np.int64)), pa.array(body, pa.binary()), *(pa.array(x.astype(np.int32)) for x in numbers)], names=names)
+            none = [pa.nulls(batch.num_rows, t) for t in (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *none], names=names)
+
+    names = ["doc_id", "h", "text", "core", "body", "start", "starts", "lead"]
     todo = todo.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "places")
     on = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h"))
     joined = rows.join(todo, on).select("doc_id", "h", "text", "places")
@@ -326,7 +333,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, most: int = MOST, acro
         # a text whose row repeats gave its slices more than once
         t = t.take(pa.array(np.sort(np.unique(np.array(t.column("body").to_pylist(), "S16"), return_index=True)[1])))
         buf, offsets = utf8(t.column("bytes").combine_chunks())
-        twice = duplicate_starts(buf, offsets[1:], length, t.column("several").to_numpy(), t.column("owner").to_numpy() if across else None, unit, t.column("core").to_numpy(), t.column("place").to_numpy().astype(np.int64))
+        twice = duplicate_starts(buf, offsets[1:], length, t.column("several").to_numpy(), t.column("owner").to_numpy() if across else None, unit, t.column("place").to_numpy().astype(np.int64))
         edge = np.diff(np.concatenate([[0], twice[::unit].astype(np.int8), [0]]))
         a, b = np.flatnonzero(edge == 1) * unit, np.flatnonzero(edge == -1) * unit
         if len(a):
@@ -367,7 +374,7 @@ def shared_words(docs: DataFrame, words: int = WORDS, most: int = MOST, doc_id:
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = utf8(batch.column(2))
-            for a, b in chunks(offsets):
+            for a, b in chunks(offsets, PASS):
                 h, first = word_hashes(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 raw = (h >> np.uint64(32)).astype("<u4").tobytes()
                 bodies = pa.array([raw[unit * i : unit * j] for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())
