@@ -7,8 +7,10 @@ Lengths are whole numbers up to the capacity, so the packing is decided on the h
    rounded up to its group's largest (linear grouping);
 2. for these few sizes a cutting-stock programme is solved by column generation: a knapsack finds the configuration of
    best value, a simplex the multiplicities; these are rounded down and what is left is put by best fit;
-3. actual documents replace the rounded ones, each slot taking a run of its group's sorted lengths;
-4. small pieces, longest first, go by best fit into the room that the actual lengths leave, then into new sequences.
+3. actual documents replace the rounded ones, each slot taking a run of its group's sorted lengths, but for a
+   configuration's last: rounding leaves gaps that few pieces fit, so its slot is filled by the actual length that fits best;
+4. pieces not placed so far and the small ones, longest first, go by best fit into the room that the actual lengths
+   leave, then into new sequences.
 
 Sequences with the same history are kept as runs, so the plan is rows (length, first rank, count, first sequence,
 offset): the pieces of a length with ranks in a run go to consecutive sequences at one offset. Tasks number the pieces of
@@ -33,30 +35,34 @@ CAPACITY = 2048
 Run = tuple[int, int, int]  # length, first rank, count
 
 
-def _configurations(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: int = 300) -> list[tuple[np.ndarray, int]]:
-    """Configurations and whole multiplicities for few sizes: Gilmore-Gomory columns, rounded down."""
-    k = len(sizes)
+def _configurations(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: int = 2000) -> list[tuple[np.ndarray, int]]:
+    """Configurations and whole multiplicities for few sizes: Gilmore-Gomory columns, rounded down.
+
+    A configuration holds few pieces, since all are large: the knapsack is solved one piece more at a time, for every
+    room at once.
+    """
+    k, whole = len(sizes), sizes.astype(int)
     basis = np.diag(np.floor(capacity / sizes))  # one configuration for each size to begin with
+    most = int(capacity // sizes.min())
     for _ in range(rounds):
         inverse = np.linalg.inv(basis)
         price = np.ones(k) @ inverse
-        best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        for i in np.argsort(-sizes):  # unbounded knapsack; every size is above `large`, so few fit
-            s = int(sizes[i])
-            for c in range(s, capacity + 1):
-                if best[c - s] + price[i] > best[c] + 1e-12:
-                    best[c], last[c] = best[c - s] + price[i], i
+        best, choice = np.zeros(capacity + 1), []
+        for _ in range(most):
+            after, last = best.copy(), np.full(capacity + 1, -1)
+            for i, s in enumerate(whole):
+                value = best[: capacity + 1 - s] + price[i]
+                better = np.flatnonzero(value > after[s:] + 1e-12)
+                after[s + better], last[s + better] = value[better], i
+            choice.append(last)
+            best = after
         if best[capacity] <= 1 + 1e-7:
             break
         column, c = np.zeros(k), capacity
-        while c > 0:
-            if last[c] < 0:
-                c -= 1
-                continue
-            column[last[c]] += 1
-            c -= int(sizes[last[c]])
-        if column @ sizes > capacity:
-            break
+        for last in reversed(choice):
+            if last[c] >= 0:
+                column[last[c]] += 1
+                c -= whole[last[c]]
         use, way = inverse @ need, inverse @ column
         ratio = np.where(way > 1e-9, use / np.where(way > 1e-9, way, 1), np.inf)
         out = int(np.argmin(ratio))
@@ -67,7 +73,7 @@ def _configurations(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds:
     return [(basis[:, j].astype(int), int(use[j] + 1e-9)) for j in range(k)]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, large: float = 0.25, groups: int = 24) -> tuple[list[tuple[int, int, int, int, int]], int]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, large: float = 1 / 3, groups: int = 24) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """(rows (length, first rank, count, first sequence, offset), number of sequences) for counts of lengths.
 
     Every rank of every length gets one place, and no sequence exceeds the capacity. An empty histogram gives no rows.
@@ -125,21 +131,21 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, large: float = 0.2
                 continue
             open_runs: list[tuple[int, int, int]] = [(used, times, 0)]  # first sequence, count, filled
             used += times
-            for i in np.flatnonzero(config)[::-1]:
-                for _ in range(config[i]):
-                    queue, after = draw(int(i), min(times, int(sum(c for _, _, c in pool[i])))), []
-                    for first, c, at in open_runs:
-                        while c and queue:
-                            n, rank, have = queue.pop(0)
-                            m = min(c, have)
-                            rows.append((n, rank, m, first, at))
-                            after.append((first, m, at + n))
-                            if have > m:
-                                queue.insert(0, (n, rank + m, have - m))
-                            first, c = first + m, c - m
-                        if c:
-                            after.append((first, c, at))
-                    open_runs = after
+            slots = [int(i) for i in np.flatnonzero(config)[::-1] for _ in range(config[i])]
+            for i in slots[: max(1, len(slots) - 1)]:
+                queue, after = draw(i, min(times, int(sum(c for _, _, c in pool[i])))), []
+                for first, c, at in open_runs:
+                    while c and queue:
+                        n, rank, have = queue.pop(0)
+                        m = min(c, have)
+                        rows.append((n, rank, m, first, at))
+                        after.append((first, m, at + n))
+                        if have > m:
+                            queue.insert(0, (n, rank + m, have - m))
+                        first, c = first + m, c - m
+                    if c:
+                        after.append((first, c, at))
+                open_runs = after
             for first, c, at in open_runs:
                 room[capacity - at].append((first, c))
         rest = sorted((r for g in pool for r in g), reverse=True)

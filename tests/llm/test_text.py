@@ -1,4 +1,5 @@
 import base64
+import bisect
 import hashlib
 import random
 import re
@@ -7,9 +8,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
+from larkspur.llm._common import utf8
 from larkspur.llm import html, jaccard, mixing, packing, quality, records, secrets, warc
 from larkspur.llm.encode import Encoder
 from larkspur.llm.queries import vocabulary
@@ -135,6 +138,27 @@ def test_plan_places_everything_once():
     assert packing.plan({}) == ([], 0)
 
 
+def best_fit_decreasing(lengths, capacity=2048):
+    free, used = [], 0  # sorted rooms
+    for n in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(free, n)
+        room = free.pop(at) if at < len(free) else capacity
+        used += at == len(free) and room == capacity
+        if room > n:
+            bisect.insort(free, room - n)
+    return used
+
+
+def test_plan_is_as_good_as_best_fit_decreasing():
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").combine_chunks()
+    _, offsets = Encoder(vocabulary("word_bpe_49k.json"), "dropped").encode_many(*utf8(texts), 0)
+    lengths = [min(2048, int(n) - at) for n in np.diff(offsets) for at in range(0, int(n), 2048)]
+    for times in (1, 10, 100):
+        plain = best_fit_decreasing(lengths * times)
+        assert -(-times * sum(lengths) // 2048) <= plain
+        assert packing.plan({n: times * c for n, c in Counter(lengths).items()})[1] <= 1.001 * plain, times
+
+
 def test_packing(spark):
     texts = [None, "", *sentences(5, 40, 60), " ".join(sentences(6, 60, 100))]
     got = packing.pack(documents(spark, texts), vocabulary("word_bpe_49k.json"), "dropped", 0).toPandas()
