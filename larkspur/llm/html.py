@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)(?:>|$)""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|$)""", re.S)
 _ATTR = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPACE = re.compile(r"\s+")
 
@@ -44,10 +44,12 @@ _START = {"article": 10, "main": 8, "div": 5, "section": 3, "pre": 3, "td": 3, "
 
 
 class Node:
-    __slots__ = ("tag", "names", "role", "hidden", "parent", "children", "score", "chars", "linked", "commas", "drop")
+    __slots__ = ("tag", "names", "role", "hidden", "parent", "children", "score", "chars", "linked", "commas", "drop", "depth", "marked")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str = ""):
         self.tag, self.parent, self.children = tag, parent, []
+        self.depth = parent.depth + 1 if parent else 0
+        self.marked = parent is not None and (parent.marked or parent.tag in ("article", "main"))  # inside an article
         self.names, self.role, self.hidden = "", "", False
         if attrs and not attrs.isspace():
             for key, a, b, c in _ATTR.findall(attrs):
@@ -61,55 +63,64 @@ class Node:
         self.score, self.chars, self.linked, self.commas, self.drop = 0.0, 0, 0, 0, False
 
 
+_CONTAINERS = ("article", "main", "table", "td", "th", "body")
+
+
 def parse(page: str) -> Node:
-    """The page's tree; text is str among the children. Never fails."""
+    """The page's tree; text is str among the children. Never fails.
+
+    The open elements of each name are kept on a stack of their own, so the one that a tag closes is found without
+    climbing; elements are left once each, and the time is in proportion to the page.
+    """
     root = Node("html", None)
-    at, open_ = 0, root
+    at, here = 0, root
+    opened: dict[str, list[Node]] = {}
+    blocks = [root]  # open blocks but <p>
     find, n = _TAG.search, len(page)
+
+    def depth(names) -> int:
+        return max((opened[x][-1].depth for x in names if opened.get(x)), default=0)
+
+    def leave(node: Node) -> Node:
+        """Close everything down to `node`, it too; the element that is open then."""
+        up = here
+        while up is not node.parent:
+            opened[up.tag].pop()
+            if blocks[-1] is up:
+                blocks.pop()
+            up = up.parent
+        return up
+
     while at < n:
         m = find(page, at)
         if m is None:
-            tail = page[at:]
-            open_.children.append(entities.unescape(tail))
+            here.children.append(entities.unescape(page[at:]))
             break
         if m.start() > at:
-            open_.children.append(entities.unescape(page[at : m.start()]))
+            here.children.append(entities.unescape(page[at : m.start()]))
         at = m.end()
         if m["cdata"] is not None:
-            open_.children.append(m["cdata"])
+            here.children.append(m["cdata"])
             continue
         name = m["name"]
         if name is None:
             continue
         name = name.lower()
         if m["close"]:
-            node = open_
-            while node is not root and node.tag != name:
-                if node.tag in ("article", "main", "table", "td", "th", "body") and name not in BLOCK:
-                    node = root  # a stray inline end doesn't leave its container
-                    break
-                node = node.parent
-            if node is not root:
-                open_ = node.parent
+            # a stray inline end doesn't leave its container
+            if opened.get(name) and (name in BLOCK or opened[name][-1].depth >= depth(_CONTAINERS)):
+                here = leave(opened[name][-1])
             continue
-        if name in _ENDS_P:
-            node = open_
-            while node is not root and (node.tag not in BLOCK or node.tag == "p"):
-                if node.tag == "p":
-                    open_ = node.parent
-                    break
-                node = node.parent
+        if name in _ENDS_P and opened.get("p") and opened["p"][-1].depth > blocks[-1].depth:
+            here = leave(opened["p"][-1])
         if name in _ENDS:
             kinds, fence = _ENDS[name]
-            node = open_
-            while node is not root and node.tag not in fence:
-                if node.tag in kinds:
-                    open_ = node.parent
-                    if name != "tr" or node.tag == "tr":
-                        break
-                node = node.parent
-        child = Node(name, open_, m["attrs"])
-        open_.children.append(child)
+            low = depth(fence)
+            for kind in ("td", "th", "tr") if name == "tr" else (max(kinds, key=lambda k: depth((k,))),):
+                if depth((kind,)) > low:
+                    here = leave(opened[kind][-1])
+        child = Node(name, here, m["attrs"])
+        here.children.append(child)
         if name in VOID or m["attrs"].endswith("/") and name not in BLOCK and name not in RAW:
             continue
         if name in RAW:
@@ -117,21 +128,19 @@ def parse(page: str) -> Node:
             if name in ("textarea", "title"):
                 child.children.append(entities.unescape(page[at : end.start() if end else n]))
             at = end.start() if end else n
-            open_ = child if end else open_
-            continue
-        open_ = child
+            if not end:
+                continue
+        opened.setdefault(name, []).append(child)
+        if name in BLOCK and name != "p":
+            blocks.append(child)
+        here = child
     return root
 
 
 def _dropped(node: Node) -> bool:
     if node.tag in NEVER or node.hidden or node.role in _ROLES:
         return True
-    if node.tag == "header":  # a page's header; an article's own header holds its heading
-        up = node.parent
-        while up is not None and up.tag not in ("article", "main"):
-            up = up.parent
-        return up is None
-    return False
+    return node.tag == "header" and not node.marked  # a page's header; an article's own header holds its heading
 
 
 def _words(token: str) -> list[str]:
@@ -300,9 +309,9 @@ def main_text(page: str | None) -> str:
     # a part of a marked article stands for the whole of it
     up = best
     while up is not None and up.tag not in ("article", "main"):
-        up = up.parent
+        up = up.parent if up.marked else None
     if up is not None:
-        outer = up.parent
+        outer = up.parent if up.marked else None
         while outer is not None and outer.tag not in ("article", "main"):
             outer = outer.parent
         best = outer if outer is not None and outer.tag == "article" else up
