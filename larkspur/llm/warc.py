@@ -27,6 +27,7 @@ from . import files
 from ._common import materialize, new_path
 
 FILE_BYTES = 16 << 20
+_PIECE = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -64,15 +65,27 @@ def render(kind: str, page_id: int | None, url: str | None, payload: bytes, payl
     return packer.compress(raw) + packer.flush()
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with lower-case names, block) of each record of an archive, gzip member by member; ValueError if damaged."""
-    while data:
-        member = zlib.decompressobj(31)
-        raw = member.decompress(data)
-        if not member.eof:
+def parse(data: bytes, places: list[tuple[int, int]] | None = None) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers with lower-case names, block) of each record of an archive, gzip member by member; ValueError if damaged.
+
+    With `places`, the offsets and lengths of an index, only those members are read. Without, members are found by
+    decompressing, a piece at a time, so that what is left over at a member's end is short.
+    """
+    view, at = memoryview(data), 0
+    todo = iter(places) if places is not None else None
+    while at < len(data) if todo is None else (place := next(todo, None)) is not None:
+        member, parts = zlib.decompressobj(31), []
+        if todo is not None:
+            at = place[0]
+        end = len(data) if todo is None else at + place[1]
+        while at < end and not member.eof:
+            piece = view[at : min(at + _PIECE, end)]
+            parts.append(member.decompress(piece))
+            at += len(piece)
+        at -= len(member.unused_data)
+        if not member.eof or todo is not None and at != end:
             raise ValueError("a record is cut off")
-        data = member.unused_data
-        head, _, rest = raw.partition(b"\r\n\r\n")
+        head, _, rest = b"".join(parts).partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if not lines[0].startswith("WARC/1."):
             raise ValueError("not a WARC record")
@@ -83,6 +96,11 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, block
 
 
+def places(index: bytes) -> list[tuple[int, int]]:
+    """(offset, length) of each record, from the lines of an archive's index."""
+    return [(int(a), int(b)) for a, b in (line.rsplit(" ", 2)[1:] for line in index.decode().split("\n") if line)]
+
+
 def resolved(pages: DataFrame, least: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """`pages` as (page_id, url, payload, sha, refers_to, refers_url): refers_to is null for responses.
 
@@ -97,13 +115,13 @@ def resolved(pages: DataFrame, least: int = 0, page_id: str = "page_id", url: st
     nameless = heads.filter("page_id is null").select("sha").distinct().withColumn("nameless", F.lit(True))
     first = first.join(nameless, "sha", "left").filter("n > 1 or nameless").select("sha", F.col("first.page_id").alias("to"), F.col("first.url").alias("to_url"))
     # one exchange of payloads, by a key that is never null, which the join and the writing share
-    key = F.coalesce(F.col("page_id"), F.lit(-(1 << 63))).alias("key")
+    key = F.coalesce(F.col("page_id"), F.xxhash64("url")).alias("key")  # rows without id are dealt by their urls
     revisits = heads.join(first, "sha").groupBy(key, "sha").agg(F.max("to").alias("refers_to"), F.max("to_url").alias("refers_url"))
     return rows.select("*", key).repartition("key", "sha").join(revisits, ["key", "sha"], "left").select("page_id", "url", "payload", "sha", "refers_to", "refers_url", "key")
 
 
-def write_archives(pages: DataFrame, folder: str, least: int = 0, **columns: str) -> list[str]:
-    """Write archives of `pages` to the folder; the names of the files, one for each 16 MB or task."""
+def write_archives(pages: DataFrame, folder: str, least: int = 0, **columns: str) -> DataFrame:
+    """Write archives of `pages` to the folder; a written table (file) of their names, one for each 16 MB or task."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -136,22 +154,19 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, **columns: str
 
     rows = resolved(pages, least, **columns)
     rows = rows.sortWithinPartitions("key", "sha", "url").drop("key")
-    return sorted(r.file for r in rows.mapInArrow(write, "file string").collect())
+    return materialize(rows.mapInArrow(write, "file string"), "files")
 
 
-def read_archives(spark: SparkSession, folder: str, names: list[str], text: bool = False) -> DataFrame:
-    """Per record: page_id, payload_bytes, payload_digest, record_type, refers_to (and html of responses, if asked)."""
+def read_archives(spark: SparkSession, folder: str, made: DataFrame, text: bool = False) -> DataFrame:
+    """Per record of the files (file) of `made`: page_id, payload_bytes, payload_digest, record_type, refers_to (and html of responses, if asked)."""
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, record_id string, refers_id string" + ", html string" * text
-    if not names:
-        return spark.createDataFrame([], schema).drop("record_id", "refers_id").withColumn("refers_to", F.lit(None).cast("long"))
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = [pa.int64(), pa.int64(), *[pa.string()] * (4 + text)]
         columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "record_id", "refers_id", "html"][: len(fields)]
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 out = []
-                for head, block in parse(files.read(folder, name)):
+                for head, block in parse(files.read(folder, name), places(files.read(folder, f"{name}.cdx"))):
                     page = head.get("warc-source-id")
                     kind, key = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:")
                     if kind == "response" and digest(block) != key:
@@ -163,7 +178,7 @@ def read_archives(spark: SparkSession, folder: str, names: list[str], text: bool
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*out, strict=True), fields, strict=True)], names=columns)
 
-    todo = spark.createDataFrame([(n,) for n in names], "file string").repartition(min(len(names), 4096))
+    todo = made.select("file").repartition(max(1, min(made.count(), 4096)), "file")
     found = materialize(todo.mapInArrow(read, schema), "records")
     # revisits and their responses meet by digest and record id; a response is one row
     originals = found.filter("record_type = 'response'").select("payload_digest", F.col("record_id").alias("refers_id"), F.col("page_id").alias("to"), F.col("payload_bytes").alias("size")).distinct()
