@@ -9,7 +9,7 @@ The data of a record is `int64 doc_id | uint8 flags (1: doc_id is null) | uint8
 can be read in any order. Files hold ascending doc_id (nulls first; ties by the text's hash) and follow each other.
 
 Defined results: a null or empty text is a record of the end id only; repeated rows are repeated records; an empty
-table gives no files and an empty result; other columns of the input are ignored.
+table gives no files and an empty result; other columns of the input are ignored. A very long text is one long record.
 """
 
 from __future__ import annotations
@@ -19,11 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import files
-from ._common import new_path, text_hash, utf8
+from ._common import materialize, new_path, text_hash, utf8
 from .encode import encoder
 
 #: Content of one file and, at most, of what a task holds while it writes or reads.
@@ -100,6 +100,8 @@ def masked(crc: np.ndarray) -> np.ndarray:
 def pack(doc_ids: list[int | None], ids: np.ndarray, offsets: np.ndarray, width: int) -> tuple[bytes, np.ndarray]:
     """(framed records, their offsets and the end) for ids[offsets[i]:offsets[i + 1]]."""
     n = len(doc_ids)
+    if width == 2 and len(ids) and int(ids.max()) > 0xFFFF:
+        raise ValueError("an id above 65,535 needs width 4")
     sizes = _HEAD + np.diff(offsets) * width
     begin = np.zeros(n + 1, np.int64)
     np.cumsum(sizes + 16, out=begin[1:])
@@ -148,11 +150,11 @@ def unpack(data: bytes, index: np.ndarray | None = None) -> Iterator[tuple[int |
         yield doc, np.frombuffer(data, "<u2" if data[i + 21] == 2 else "<u4", (size - _HEAD) // data[i + 21], i + 12 + _HEAD).astype(np.uint32)
 
 
-def write_records(docs: DataFrame, folder: str, vocabulary: str, spaces: str, end: int, width: int = 2, doc_id: str = "doc_id", text: str = "text") -> list[tuple[str, int, int]]:
-    """Encode whole texts and write them in ascending id order; returns (file, records, ids) of each file, in order.
+def write_records(docs: DataFrame, folder: str, vocabulary: str, spaces: str, end: int, width: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Encode whole texts and write them in ascending id order; a written table (file, part, nth, records, ids) of the files.
 
-    The texts are dealt by ranges of the id, so files of later tasks hold later ids; `width` is 2 or 4 bytes an id. The
-    list has one entry for each 16 MB of output or task, as the driver's own record of tasks does; no row comes with it.
+    The texts are dealt by ranges of id, text hash and place in the input, so files of later tasks hold later ids, and
+    rows of one id, or without any, are no single task's. `width` is 2 or 4 bytes an id; ids that don't fit are an error.
     """
     if width not in (2, 4):
         raise ValueError("width: 2 or 4")
@@ -188,18 +190,18 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, spaces: str, en
             close()
         yield pa.RecordBatch.from_pylist([dict(zip(("file", "part", "nth", "records", "ids"), x, strict=True)) for x in names], schema=pa.schema([("file", pa.string()), ("part", pa.int32()), ("nth", pa.int32()), ("records", pa.int64()), ("ids", pa.int64())]))
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), text_hash(F.col(text)).alias("h"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    made = rows.mapInArrow(write, "file string, part int, nth int, records long, ids long").collect()
-    return [(r.file, r.records, r.ids) for r in sorted(made, key=lambda r: (r.part, r.nth))]
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), text_hash(F.col(text)).alias("h"), F.monotonically_increasing_id().alias("at"))
+    rows = rows.repartitionByRange("doc_id", "h", "at").sortWithinPartitions("doc_id", "h", "at").select("doc_id", "text")
+    return materialize(rows.mapInArrow(write, "file string, part int, nth int, records long, ids long"), "manifest")
 
 
-def read_records(spark: SparkSession, folder: str, made: list[tuple[str, int, int]]) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every record of the files that write_records named."""
-    before, rows = 0, []
-    for name, _, total in made:
-        rows.append((name, before))
-        before += total
+def read_records(spark: SparkSession, folder: str, made: DataFrame) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every record of the files in the table of write_records."""
+    # a file's start: the ids of the tasks before (one row a task), and of the task's own files before
+    ahead = Window.rowsBetween(Window.unboundedPreceding, -1)
+    tasks = made.groupBy("part").agg(F.sum("ids").alias("ids")).select("part", F.coalesce(F.sum("ids").over(ahead.orderBy("part")), F.lit(0)).alias("base"))
+    inner = F.coalesce(F.sum("ids").over(ahead.partitionBy("part").orderBy("nth")), F.lit(0)).alias("inner")
+    todo = made.select("file", "part", inner).join(tasks, "part").select("file", (F.col("base") + F.col("inner")).alias("start"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,11 +214,8 @@ def read_records(spark: SparkSession, folder: str, made: list[tuple[str, int, in
                 cols = list(zip(*out, strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    if not rows:
-        return spark.createDataFrame([], schema)
-    todo = spark.createDataFrame(rows, "file string, start long").repartition(min(len(rows), 4096))
-    return todo.mapInArrow(read, schema)
+    todo = todo.repartition(max(1, min(made.count(), 4096)), "file")
+    return todo.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_records(docs: DataFrame, vocabulary: str, spaces: str, end: int) -> DataFrame:
