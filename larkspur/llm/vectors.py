@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import block_tasks, groups, materialize, roots
@@ -80,17 +80,17 @@ def _cells(centres: np.ndarray, margin: float):
                 for a in range(0, len(row), 4096):
                     r, c = row[a : a + 4096], cell[a : a + 4096]
                     pick = pa.array(which[r])
-                    yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pick) for i in range(3)), pa.array(np.full(len(r), dim), pa.int32()), pa.array(c, pa.int32()), pa.array(home[r], pa.int32()), pa.array([lists[i] for i in r], pa.list_(pa.int32())), pa.array(list(x[r]), pa.list_(pa.float64()))], names=["rep", "label", "n", "dim", "cell", "home", "cells", "x"])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pick) for i in range(4)), pa.array(np.full(len(r), dim), pa.int32()), pa.array(c, pa.int32()), pa.array(home[r], pa.int32()), pa.array([lists[i] for i in r], pa.list_(pa.int32())), pa.array(list(x[r]), pa.list_(pa.float64()))], names=["rep", "label", "n", "k", "dim", "cell", "home", "cells", "x"])
 
     return run
 
 
 def _verify(threshold: float):
     def one(t: pa.Table) -> pa.RecordBatch | None:
-        rep, n, blk, home = (t.column(k).to_numpy() for k in ("rep", "n", "blk", "home"))
+        rep, number, n, blk, home = (t.column(c).to_numpy() for c in ("rep", "k", "n", "blk", "home"))
         cell, bi, bj = (t.column(k)[0].as_py() for k in ("cell", "bi", "bj"))
         order = np.argsort(rep, kind="stable")
-        rep, n, blk, home = rep[order], n[order], blk[order], home[order]
+        rep, number, n, blk, home = rep[order], number[order], n[order], blk[order], home[order]
         x = np.array(t.column("x").combine_chunks().flatten()).reshape(len(rep), -1)[order]
         linked = x @ x.T >= threshold
         for i, j in np.argwhere(np.abs(x @ x.T - threshold) < 1e-12):  # at the very edge by the plain formula
@@ -109,7 +109,8 @@ def _verify(threshold: float):
                             linked[i, j] = linked[j, i] = False
         if not linked.any():
             return None
-        return pa.RecordBatch.from_arrays([pa.array(rep), pa.array(linked @ n), pa.array(rep[roots(linked)])], names=["rep", "links", "root"])
+        label = pa.array([t.column("label")[0].as_py()] * len(rep), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(rep), label, pa.array(number), pa.array(linked @ n), pa.array(rep[roots(linked)])], names=["rep", "label", "k", "links", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, ["label", "dim", "cell", "bi", "bj"]):
@@ -119,11 +120,17 @@ def _verify(threshold: float):
     return run
 
 
+def _label(vectors: DataFrame, name: str) -> Column:
+    """A label of any type as text; equal labels have equal texts."""
+    c, kind = F.col(name), vectors.select(name).dtypes[0][1]
+    return F.hex(c) if kind == "binary" else (c + F.lit(0).cast(kind)).cast("string") if kind in ("float", "double") else c.cast("string")
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, cell: int = CELL, cells: int = CELLS, block: int = BLOCK, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """Per row: vec_id, n_links, component_id (smallest vec_id reachable by links), kept (vec_id = component_id).
 
     Defined results: vectors that are null, empty, zero or hold a null, NaN or infinity, and rows without label or
-    vec_id, link with nothing and are their own component; vectors of different lengths aren't compared; rows that
+    vec_id, link with nothing and are their own component; labels may be of any type; vectors of different lengths aren't compared; rows that
     repeat are vectors of their own, linked with each other, and have equal results; an empty table gives no rows;
     other columns are ignored.
     """
@@ -132,17 +139,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sample: in
     spark = vectors.sparkSession
     v = F.transform(F.col(embedding), lambda x: x.cast("double"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), v.alias("v"))
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), _label(vectors, label).alias("label"), v.alias("v"))
     usable = rows.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(fine, F.lit(False)))
     # -0.0 and 0.0 are one value; the text form of a double is exact
     usable = usable.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).withColumn("key", F.sha2(F.concat_ws(",", F.transform("v", lambda x: x.cast("string"))), 256))
-    classes = materialize(usable.groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("v").alias("v")), "classes")
+    classes = materialize(usable.groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("v").alias("v")).withColumn("k", F.xxhash64("key")), "classes")
 
     total = classes.count()
-    fit = [r.v for r in classes.orderBy(F.xxhash64("rep", F.lit(11)), "rep").limit(sample).select("v").collect()]
-    dim = max(map(len, fit), default=1)
-    dim = max({len(x) for x in fit}, key=[len(x) for x in fit].count, default=1) if len({len(x) for x in fit}) > 1 else dim
-    x = np.array([y for y in fit if len(y) == dim], np.float64).reshape(-1, dim)
+    # a bounded number of rows comes to the driver, as Arrow buffers
+    fit = classes.orderBy(F.xxhash64("rep", "key", F.lit(11)), "rep", "key").limit(sample).select("v").toArrow()
+    flat, at = _rows(fit.column("v").combine_chunks()) if fit.num_rows else (np.zeros(0), np.zeros(1, np.int64))
+    size = np.diff(at)
+    dim = int(np.bincount(size).argmax()) if len(size) else 1  # the length most have
+    x = flat[at[:-1][size == dim][:, None] + np.arange(dim)].reshape(-1, dim)
     scale = np.abs(x).max(1, keepdims=True, initial=1e-300)
     x = x / scale
     x = x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else np.eye(1, dim)
@@ -151,17 +160,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sample: in
     margin = math.sqrt(max(0.0, 2 - 2 * threshold)) / 2
     # divided by its largest entry first, so no square overflows or vanishes
     unit = F.transform("v", lambda x: x / F.array_max(F.transform("v", lambda y: F.abs(y))))
-    dealt = classes.select("rep", "label", "n", "key", unit.alias("v")).mapInArrow(_cells(centres, margin), "rep long, label long, n long, dim int, cell int, home int, cells array<int>, x array<double>")
+    dealt = classes.select("rep", "label", "n", "k", unit.alias("v")).mapInArrow(_cells(centres, margin), "rep long, label string, n long, k long, dim int, cell int, home int, cells array<int>, x array<double>")
     by = ["label", "dim", "cell"]
     tasks = block_tasks(materialize(dealt, "cells"), by, "rep", block)
     by += ["bi", "bj"]
-    links = materialize(tasks.repartition(*by).sortWithinPartitions(*by, "rep").mapInArrow(_verify(threshold), "rep long, links long, root long"), "links")
+    links = materialize(tasks.repartition(*by).sortWithinPartitions(*by, "rep").mapInArrow(_verify(threshold), "rep long, label string, k long, links long, root long"), "links")
 
-    counted = links.groupBy("rep").agg(F.sum("links").alias("links"))
+    # an id may stand for several vectors: links belong to a class, known by id, label and a number of its vector
+    counted = links.groupBy("rep", "label", "k").agg(F.sum("links").alias("links"))
     # a vec_id that stands for several classes joins them only through its own rows, so ids are the nodes
     edges = links.select(F.col("rep").alias("a"), F.col("root").alias("b")).union(usable.join(classes.filter("n > 1").select("label", "key", "rep"), ["label", "key"]).select(F.col("vec_id").alias("a"), F.col("rep").alias("b")).filter("a <> b"))
     reached = components(edges)
-    own = usable.select("vec_id", "label", "key").join(classes.select("label", "key", "rep", "n").join(counted, "rep", "left"), ["label", "key"])
+    own = usable.select("vec_id", "label", "key").join(classes.select("label", "key", "rep", "n", "k").join(counted, ["rep", "label", "k"], "left").drop("k"), ["label", "key"])
     own = own.select("vec_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     rest = rows.filter(~(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(fine, F.lit(False)))).select("vec_id", F.lit(0).cast("long").alias("n_links"))
     out = own.union(rest).join(reached.withColumnRenamed("id", "vec_id"), "vec_id", "left")

@@ -58,6 +58,12 @@ def test_matches_brute_force(spark, options):
     assert got == want
 
 
+def test_ids_of_several_vectors_and_text_labels(spark):
+    rows = [(1, [1.0, 0.0], "a"), (1, [0.0, 1.0], "a"), (2, [1.0, 0.001], "a"), (3, [1.0, 0.0], "b"), (4, [1.0, 0.0], "b"), (5, [1.0, 0.0], None)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect())
+    assert got == [(1, 0, 1), (1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3), (5, 0, 5)]
+
+
 def test_empty(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     with pytest.raises(ValueError):
