@@ -109,9 +109,9 @@ def _verify(threshold: float):
     def one(t: pa.Table) -> pa.RecordBatch | None:
         m = t.num_rows
         band, bi, bj = (t.column(k)[0].as_py() for k in ("band", "bi", "bj"))
-        rep, n, blk = (t.column(k).to_numpy() for k in ("rep", "n", "blk"))
+        rep, k1, n, blk = (t.column(k).to_numpy() for k in ("rep", "k1", "n", "blk"))
         order = np.argsort(rep, kind="stable")
-        rep, n, blk = rep[order], n[order], blk[order]
+        rep, k1, n, blk = rep[order], k1[order], n[order], blk[order]
         sig = np.stack([np.frombuffer(t.column("bands")[int(i)].as_py(), np.uint64) for i in order])
         sets = [np.frombuffer(t.column("grams")[int(i)].as_py(), np.uint64) for i in order]
         sizes = np.array([len(s) for s in sets])
@@ -133,7 +133,7 @@ def _verify(threshold: float):
             linked &= sig[:, None, k] != sig[None, :, k]
         if not linked.any():
             return None
-        return pa.RecordBatch.from_arrays([pa.array(rep), pa.array(linked @ n), pa.array(rep[roots(linked)])], names=["rep", "links", "root"])
+        return pa.RecordBatch.from_arrays([pa.array(rep), pa.array(k1), pa.array(linked @ n), pa.array(rep[roots(linked)])], names=["rep", "k1", "links", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, ["band", "hash", "bi", "bj"]):
@@ -151,7 +151,7 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
     Defined results: a text that is null, empty or white space has no words and links with nothing; rows that repeat are
     documents of their own that are copies; rows without doc_id count as copies but name no class: a class of such rows
-    only has a null class_id and isn't compared; an empty table gives no rows; other columns are ignored.
+    only has a null class_id and isn't compared; a very long text is hashed whole; an empty table gives no rows; other columns are ignored.
     """
     bands = choose_bands(threshold, recall, rows)
     signed = materialize(signatures(docs, bands, rows, doc_id, text), "signatures")
@@ -181,34 +181,41 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float
                 for c in range(0, len(parents), 256):
                     p = parents[c : c + 256]
                     x = flat.slice(c, len(p))
-                    yield pa.RecordBatch.from_arrays([*(x.field(k) for k in range(5)), part.column(1).take(pa.array(p)), part.column(2).take(pa.array(p)), part.column(3).take(pa.array(p)), pa.array([grams[i] for i in p], pa.binary())], names=["band", "hash", "blk", "bi", "bj", "rep", "n", "bands", "grams"])
+                    yield pa.RecordBatch.from_arrays([*(x.field(k) for k in range(5)), part.column(1).take(pa.array(p)), part.column(2).take(pa.array(p)), part.column(3).take(pa.array(p)), part.column(5).take(pa.array(p)), pa.array([grams[i] for i in p], pa.binary())], names=["band", "hash", "blk", "bi", "bj", "rep", "n", "bands", "k1", "grams"])
 
     texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).withColumn("rep_h", text_hash(F.col("text")))
     # rows that repeat an id and a text are in n already: one of them stands for the class
-    full = texts.join(todo, ["rep", "rep_h"]).dropDuplicates(["rep", "rep_h"]).select("text", "rep", "n", "bands", "tasks")
-    full = full.mapInArrow(sets, "band int, hash long, blk int, bi int, bj int, rep long, n long, bands binary, grams binary")
+    full = texts.join(todo, ["rep", "rep_h"]).dropDuplicates(["rep", "rep_h"]).select("text", "rep", "n", "bands", "tasks", "k1")
+    full = full.mapInArrow(sets, "band int, hash long, blk int, bi int, bj int, rep long, n long, bands binary, k1 long, grams binary")
     by = ["band", "hash", "bi", "bj"]
     full = full.repartition(*by).sortWithinPartitions(*by, "rep")
-    links = materialize(full.mapInArrow(_verify(threshold), "rep long, links long, root long"), "links")
+    links = materialize(full.mapInArrow(_verify(threshold), "rep long, k1 long, links long, root long"), "links")
 
-    counted = links.groupBy("rep").agg(F.sum("links").alias("links"))
+    # an id may stand for several texts: links belong to a class, that is an id and a key of its words
+    counted = links.groupBy("rep", "k1").agg(F.sum("links").alias("links"))
     reached = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    result = classes.join(counted, "rep", "left").join(reached.withColumnRenamed("id", "rep"), "rep", "left")
+    result = classes.join(counted, ["rep", "k1"], "left").join(reached.withColumnRenamed("id", "rep"), "rep", "left")
     result = result.select("k1", "k2", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("group_id"))
     out = signed.select("doc_id", "h", "k1", "k2").join(result, ["k1", "k2"], "left")
     alone = F.col("k1").isNull()
     return out.select("doc_id", "h", F.when(alone, F.col("doc_id")).otherwise(F.col("rep")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(alone, F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of `docs` without all but one of each near-duplicate group, that with the smallest doc_id.
 
-    Rows that repeat an id and a text become one row. Texts without words, and classes without any doc_id, stay.
+    Rows that repeat an id and a text become one row. Texts without words, and classes without any doc_id, stay. Columns
+    keep their names and values, whatever they are called; nulls, empty and very long texts are as in `jaccard_groups`,
+    and an empty table gives no rows.
     """
-    found = jaccard_groups(docs, **options)
+    names = list(docs.columns)
+    own = [f"_c{i}" for i in range(len(names))]
+    who, what = own[names.index(doc_id)], own[names.index(text)]
+    rows = docs.toDF(*own)
+    found = jaccard_groups(rows.select(F.col(who).alias("doc_id"), F.col(what).alias("text")), **options)
     gone = found.filter("group_id is not null and doc_id is not null and doc_id <> group_id").select("doc_id", "h").union(found.filter("doc_id is null and group_id is not null").select("doc_id", "h")).distinct()
     gone = materialize(gone, "gone").select(F.col("doc_id").alias("_d"), F.col("h").alias("_g"))
-    rows = docs.withColumn("_h", text_hash(F.col("text")))
-    rows = rows.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")), "left_anti")
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy(F.lit(1))))
-    return rows.filter("_n = 1").drop("_n", "_h")
+    rows = rows.withColumn("_h", text_hash(F.col(what)))
+    rows = rows.join(gone, F.col(who).cast("long").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")), "left_anti")
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(who, "_h").orderBy(F.lit(1))))
+    return rows.filter("_n = 1").select(*(F.col(k).alias(c) for k, c in zip(own, names, strict=True)))
