@@ -7,8 +7,8 @@ supply. Dealing among children is one pass over them sorted by supply / weight (
 
 A leaf's budget is met from seeded epochs: epoch e orders the leaf's documents by md5(seed:epoch:doc_id). Whole epochs
 come first, then the prefix of the next whose documents begin below the remaining budget. The prefix is found without
-sorting a leaf: tokens are summed by the hash's first three hex digits (4,096 buckets a leaf), and only the bucket in
-which the budget runs out is ordered. The cut is a hash value, so the filter is a join with one row a leaf.
+sorting a leaf: tokens are summed by the hash's first two hex digits, then, of the bucket in which the budget runs out, by
+its first four, and so on (256 buckets a leaf each time), and only the last such bucket is ordered: 1 / 2^24 of a leaf. The cut is a hash value, so the filter is a join with one row a leaf.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from ._common import materialize
 
 SEED, EPOCHS, SHARE = 42, 4, 0.6
+#: Hex digits of the order value in the buckets of each step.
+DIGITS = (2, 4, 6)
 #: Default domain of a source and weights: numbered sources in five domains; unknown names get weight 1.
 DOMAIN_SQL = "concat('d', coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) as int), 0) div 4)"
 WEIGHTS = {"domain": {"d0": 4, "d1": 2}, "lang": {"en": 3, "de": 2}, "source": {"src0": 2}}
@@ -75,8 +77,8 @@ def budgets(leaves: DataFrame, target: Column, epochs: int = EPOCHS, weights: di
     return leaves.join(on, cond).select(*TREE, "tokens", "docs", "alloc")
 
 
-def _order(seed: int, epoch: Column) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), epoch.cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+def _order(seed: int, epoch: Column, doc_id: Column) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), epoch.cast("string"), F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
 
 
 def plan(counted: DataFrame, share: float, epochs: int, seed: int, weights: dict | None) -> DataFrame:
@@ -90,41 +92,52 @@ def plan(counted: DataFrame, share: float, epochs: int, seed: int, weights: dict
     given = materialize(given.repartition(1), "budgets")  # a row for each leaf: one small file
     short = given.select(*(F.col(c).alias(f"_{c}") for c in TREE), "whole", "rest").filter("rest > 0")
     leaf = F.col("domain").eqNullSafe(F.col("_domain")) & F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
-    key = counted.join(short, leaf).withColumn("o", _order(seed, F.col("whole"))).select(*TREE, "rest", "o", "n_tokens").withColumn("b", F.substring("o", 1, 3))
-    sums = key.groupBy(*TREE, "rest", "b").agg(F.sum("n_tokens").alias("n"))
+    key = counted.join(short, leaf).withColumn("o", _order(seed, F.col("whole"), F.col("doc_id"))).select(*TREE, "rest", "o", "n_tokens")
     w = Window.partitionBy(*TREE).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    edge = sums.withColumn("base", F.coalesce(F.sum("n").over(w), F.lit(0))).filter("base < rest").groupBy(*TREE, "rest").agg(F.max(F.struct("b", "base")).alias("x"))
-    edge = edge.select(*(F.col(c).alias(f"_{c}") for c in TREE), F.col("x.b").alias("eb"), F.col("x.base").alias("base"))
-    fine = key.join(edge, leaf & (F.col("b") == F.col("eb")))
+    base = F.lit(0).cast("long")
+    for digits in DIGITS:  # the bucket in which the budget runs out, then its own
+        key = key.withColumn("b", F.substring("o", 1, digits)).withColumn("base", base)
+        sums = key.groupBy(*TREE, "rest", "base", "b").agg(F.sum("n_tokens").alias("n"))
+        edge = sums.withColumn("begin", F.col("base") + F.coalesce(F.sum("n").over(w), F.lit(0))).filter("begin < rest").groupBy(*TREE, "rest").agg(F.max(F.struct("b", "begin")).alias("x"))
+        edge = edge.select(*(F.col(c).alias(f"_{c}") for c in TREE), F.col("x.b").alias("eb"), F.col("x.begin").alias("at"))
+        key = materialize(key.drop("base", "at").join(edge, leaf & (F.col("b") == F.col("eb"))).select(*TREE, "rest", "o", "n_tokens", "at"), "edge")
+        base = F.col("at")
     upto = F.sum("n_tokens").over(Window.partitionBy(*TREE).orderBy("o"))  # of all documents up to this order value, ties together
     own = F.sum("n_tokens").over(Window.partitionBy(*TREE, "o"))
-    cut = fine.withColumn("begin", F.col("base") + upto - own).filter("begin < rest").groupBy(*TREE).agg(F.max("o").alias("cut"))
+    cut = key.withColumn("begin", F.col("at") + upto - own).filter("begin < rest").groupBy(*TREE).agg(F.max("o").alias("cut"))
     cut = cut.select(*(F.col(c).alias(f"_{c}") for c in TREE), "cut")
     return given.join(cut, leaf, "left").select(*TREE, "tokens", "alloc", "whole", "cut")
 
 
 def selected(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED, weights: dict | None = None, domain_sql: str = DOMAIN_SQL) -> DataFrame:
-    """`docs` with _domain, _n_tokens and _epoch: a row for each epoch in which a document is taken.
+    """(row: a struct of the columns of `docs`, domain, n_tokens, epoch): a row for each epoch in which a document is taken.
 
     Tokens are words (runs of other than white space). The target is `share` of all tokens. Defined results: null lang or
     source are names of their own with weight 1; a null text has no tokens: it is taken in whole epochs, and in a prefix
-    if its order value is within; rows that repeat a doc_id share its place in the order and are taken alike; an empty
-    table gives no rows; other columns stay. A leaf without tokens gives none of its documents.
+    if its order value is within; a very long text is one document like others; rows that repeat a doc_id share its place
+    in the order and are taken alike; an empty table gives no rows; other columns stay, whatever they are called. A leaf
+    without tokens gives none of its documents.
     """
-    names = list(docs.columns)
-    rows = docs.withColumn("_domain", F.expr(domain_sql)).withColumn("_n_tokens", F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long"))
-    counted = materialize(rows.select("doc_id", F.col("_domain").alias("domain"), "lang", "source", F.col("_n_tokens").alias("n_tokens")), "counted")
+    whole = F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("row")
+    rows = docs.select(whole, F.expr(domain_sql).alias("domain"), F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_tokens"))
+    counted = materialize(rows.select("row.doc_id", "domain", "row.lang", "row.source", "n_tokens"), "counted")
     p = plan(counted, share, epochs, seed, weights).select(F.col("domain").alias("_d"), F.col("lang").alias("_l"), F.col("source").alias("_s"), "whole", "cut")
     p = materialize(p.repartition(1), "plan")
-    leaf = F.col("_domain").eqNullSafe(F.col("_d")) & F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s"))
-    taken = F.filter(F.sequence(F.lit(0), F.col("whole")), lambda e: (e < F.col("whole")) | F.coalesce(_order(seed, F.col("whole")) <= F.col("cut"), F.lit(False)))
-    return rows.join(p, leaf).withColumn("_epoch", F.explode(taken)).select(*names, "_domain", "_n_tokens", "_epoch")
+    leaf = F.col("domain").eqNullSafe(F.col("_d")) & F.col("row.lang").eqNullSafe(F.col("_l")) & F.col("row.source").eqNullSafe(F.col("_s"))
+    last = F.coalesce(_order(seed, F.col("whole"), F.col("row.doc_id")) <= F.col("cut"), F.lit(False))
+    taken = F.filter(F.sequence(F.lit(0), F.col("whole")), lambda e: (e < F.col("whole")) | last)
+    return rows.join(p, leaf).select("row", "domain", "n_tokens", F.explode(taken).alias("epoch"))
+
+
+def taken(docs: DataFrame, **options) -> DataFrame:
+    """The rows and columns of `docs`, a row for each epoch in which `selected` takes it."""
+    return selected(docs, **options).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """Per document and epoch taken: doc_id, domain, lang, source, n_tokens, epoch."""
     x = selected(docs.select("doc_id", "text", "lang", "source"), **options)
-    return x.select("doc_id", F.col("_domain").alias("domain"), "lang", "source", F.col("_n_tokens").alias("n_tokens"), F.col("_epoch").cast("long").alias("epoch"))
+    return x.select("row.doc_id", "domain", "row.lang", "row.source", "n_tokens", F.col("epoch").cast("long").alias("epoch"))
 
 
 def _case(level: str) -> str:

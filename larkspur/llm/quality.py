@@ -134,7 +134,7 @@ def judged(docs: DataFrame, carry: list[str] | None = None, spread: int = SPREAD
     """
     names = list(docs.columns if carry is None else carry)
     carried = [f"_c{i}" for i in range(len(names))]
-    rows = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(names, carried, strict=True)), F.col(text).alias("_text"), F.col(lang).alias("_lang"), F.col(source).alias("_source"))
+    rows = docs.select(*(F.col("`" + c.replace("`", "``") + "`").alias(k) for c, k in zip(names, carried, strict=True)), F.col(text).alias("_text"), F.col(lang).alias("_lang"), F.col(source).alias("_source"))
     m = materialize(measured(rows, "_text").drop("_text"), "measured").select("*", "_q.w.*", "_q.l.*", "_q.c.*").drop("_q")
     limits = thresholds(sketches(m.filter(~base_failed()), "_lang", "_source"), spread, least)
     limits = limits.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), *(f"{r}_most" for r in RULES))

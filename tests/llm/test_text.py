@@ -3,6 +3,7 @@ import bisect
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -105,6 +106,9 @@ def test_records(spark):
     for at in (0, 9, 30, len(data) - 1):
         with pytest.raises(ValueError):
             list(records.unpack(data[:at] + bytes([data[at] ^ 1]) + data[at + 1 :]))
+    with pytest.raises(ValueError):
+        records.pack([1], np.array([70_000], np.uint32), np.array([0, 1]), 2)
+    assert [x.tolist() for _, x in records.unpack(records.pack([1], np.array([70_000], np.uint32), np.array([0, 1]), 4)[0])] == [[70_000]]
     texts = [None, "", "two words", "x" * 5000, *sentences(3, 30)]
     df = documents(spark, texts)
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in records.token_records(df, vocabulary("byte_bpe_50k.json"), "kept", 2).collect()}
@@ -255,6 +259,61 @@ def test_main_text_of_several_articles():
     assert html.main_text(f"<div><article>{part(1, 5)}</article><p>Between.</p><article>{part(2, 3)}</article></div>") == want
 
 
+def test_main_text_of_generated_pages():
+    """Pages made around a known article: exactly its blocks come back."""
+    r = random.Random(21)
+    words = [x for s in sentences(4, 6) for x in s.split()]
+    prose = lambda n: " ".join(r.choice(words) + r.choice(["", "", "", ","]) for _ in range(n)) + "."
+    link = lambda: f'<a href="/{r.choice(words)}">{r.choice(words)} {r.choice(words)}</a>'
+    wrong = 0
+    for _ in range(300):
+        blocks = [prose(r.randint(12, 60)) for _ in range(r.randint(3, 12))]
+        title = " ".join(r.choice(words) for _ in range(5))
+        inner = "".join(f"<p>{b.replace(' ', r.choice([' ', chr(10), ' <b>', ' ']), 1)}" + r.choice(["</p>", "", "</p>\n"]) for b in blocks)
+        body = r.choice(["<article>{}</article>", '<main class="no-sidebar">{}</main>', '<div class="post-content">{}</div>', '<div id="content"><div class="entry">{}</div></div>', "<main><article>{}</article></main>", "<section>{}</section>"]).format(f"<h1>{title}</h1>{inner}")
+        nav = f"<nav><ul>{''.join(f'<li>{link()}</li>' for _ in range(r.randint(3, 20)))}</ul></nav>"
+        head = f"<head><title>{title}</title><style>p {{ color: red }}</style><script>var a = '<p>' + {r.random()};</script></head>"
+        top = r.choice([f"<header>{nav}</header>", f'<div class="menu">{link() * 5}</div>', nav])
+        side = r.choice(["", f'<div class="sidebar"><h3>More</h3>{link() * 8}</div>', f"<aside>{link() * 6}<p>{prose(9)}</p></aside>", f'<div class="ad-banner">{prose(6)}</div>'])
+        end = r.choice([f"<footer>{prose(8)} {link()}</footer>", f'<div class="comments"><p>{prose(40)}</p></div><footer>x</footer>', f'<form><input name="q"><label>{prose(3)}</label></form>'])
+        page = f"<!doctype html><html>{head}<body>{top}{side if r.random() < 0.5 else ''}{body}{side}{end}</body></html>"
+        want = " ".join(" ".join(b.split()) for b in [title, *blocks])
+        wrong += html.main_text(page) != want
+    assert wrong == 0
+
+
+@pytest.mark.parametrize("make", [lambda n: "<b>" * n + "<hr>" * n, lambda n: "<article>" + "<div>" * n + "</b>" * n, lambda n: "<b>" * n + "<li></li>" * n, lambda n: '<a "' * n, lambda n: "<b>" * 3 + "<article>" + "<i>" * n + "</b>" * n, lambda n: "<header>" * n])
+def test_main_text_takes_time_in_proportion(make):
+    def least(n):
+        times = []
+        for _ in range(3):
+            began = time.perf_counter()
+            html.main_text(make(n))
+            times.append(time.perf_counter() - began)
+        return min(times)
+
+    assert least(20_000) < 10 * least(5_000) + 0.05
+
+
+def test_archives_are_read_in_time_in_proportion():
+    def made(n):
+        parts = [warc.render("response", i, "u", b"abc%d" % i, warc.digest(b"abc%d" % i), None, None) for i in range(n)]
+        ends = np.cumsum([len(p) for p in parts])
+        return b"".join(parts), [(int(e) - len(p), len(p)) for e, p in zip(ends, parts, strict=True)]
+
+    times = []
+    for n in (2_000, 8_000):
+        data, at = made(n)
+        began = time.perf_counter()
+        assert [b for _, b in warc.parse(data)] == [b for _, b in warc.parse(data, at)] == [b"abc%d" % i for i in range(n)]
+        times.append(time.perf_counter() - began)
+    assert times[1] < 10 * times[0] + 0.05
+    data, at = made(5)
+    assert [h["warc-source-id"] for h, _ in warc.parse(data, [at[3], at[1]])] == ["3", "1"]
+    with pytest.raises(ValueError):
+        list(warc.parse(data, [(at[2][0], at[2][1] - 3)]))
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>a&nbsp;b</p></article>", "x"), (None, None, None, "y")], "page_id long, url string, html string, text string")
     got = {r.page_id: (r.url, r.text, r.n_chars) for r in html.extract(df).collect()}
