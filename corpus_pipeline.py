@@ -2,11 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
 one's docs. All but the last return the columns of `documents`; the last returns the packed pieces.
+
+Defined results of all stages: an empty table gives no rows; further columns stay as they are, whatever they are called
+(the last stage returns its own columns only); very long texts are worked on whole; null ids, languages and sources stay.
+A null or empty text fails the quality rules, counts as no near copy, holds no secret, has no tokens to mix, and is packed
+as its end id. Repeated rows are judged alike; the second stage makes them one row.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from larkspur.llm import jaccard, mixing, packing, quality, secrets
 from larkspur.llm._common import materialize
@@ -26,12 +32,13 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the texts; every document stays. n_chars is that of the new text."""
     masked = secrets.mask(docs)
-    return masked.selectExpr(*("coalesce(cast(length(text) as bigint), n_chars) as n_chars" if c == "n_chars" else f"`{c}`" for c in masked.columns))
+    length = F.coalesce(F.length("text").cast("long"), F.col("n_chars")).alias("n_chars")
+    return masked.select(*(length if c == "n_chars" else F.col("`" + c.replace("`", "``") + "`") for c in masked.columns))
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are taken to the target weights; one that several epochs take is repeated."""
-    return mixing.selected(docs).select(*docs.columns)
+    return mixing.taken(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
