@@ -1,17 +1,18 @@
 """Secret scans: base patterns, and a linear-chain conditional random field that tags tokens B, I or O.
 
 Tokens are runs of other than white space and quotes. A token's features are its shape (which kinds of characters, how
-mixed, how long), its neighbours' words (names such as token or key, and = or : between), and its file's features (how
+mixed, how long), its neighbours' words (before it names such as token or key, and = or : between; after it names, signs, plain or mixed words), and its file's features (how
 much of the text looks like code). The weights of features and of tag transitions are trained here by the chain's
 log-likelihood (forward-backward, gradient steps) on a bounded sample, and tags are decoded by Viterbi.
 
 Base spans come from the patterns of the contract and always stay; the field adds spans of kind `crf`, whole, but those
-that base spans cover wholly. Decoding is exact but lazy: a token whose best possible score as B or I can't beat O is O, so Viterbi runs only
-over the stretches around the others.
+that base spans cover wholly. Decoding is exact but lazy: tokens that no run of B and I with a gain over O can hold are O,
+so Viterbi runs only over the stretches of the others. Time is in proportion to a text's length, however many spans it has.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -31,14 +32,12 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ["assign", "access", "hex", "crf"]
 
 B, I, O = 0, 1, 2
-#: Rows that the field is trained on, at most.
-TRAIN_ROWS = 400
-#: Characters and words of each of these texts that its lines are made from, at most.
-TRAIN_CHARS, TRAIN_WORDS = 4000, 400
+#: Rows whose words the training lines are made from, at most, and the number of these lines.
+TRAIN_ROWS, TRAIN_LINES = 400, 1200
 _NAMES = ("password", "passwd", "passphrase", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "accesskey", "secret_key", "private_key", "credential", "credentials", "auth", "authorization", "bearer", "client_secret", "signature", "sas", "sig", "key")
 _LAST = {w.replace("-", "_").rpartition("_")[2] for w in _NAMES}
 _GLUED = re.compile(rb"([A-Za-z][A-Za-z_.-]{1,39})[=:](?=.{6})")
-FEATURES = ["bias", "length 1-7", "length 8-15", "length 16-19", "length 20-31", "length 32+", "digit", "no digit", "upper", "lower", "digit and letter", "three kinds", "many changes", "few changes", "hex only", "letters only", "digits only", "high byte", "dots or slashes", "long alnum run", "after name", "after name and =", "after = or :", "ends with = or :", "is name", "prefix of a known key", "url or mail", "many different characters", "few different characters", "file like code", "end of line", "name and = before it", "name and = before digits and letters"]
+FEATURES = ["bias", "length 1-7", "length 8-15", "length 16-19", "length 20-31", "length 32+", "digit", "no digit", "upper", "lower", "digit and letter", "three kinds", "many changes", "few changes", "hex only", "letters only", "digits only", "high byte", "dots or slashes", "long alnum run", "after name", "after name and =", "after = or :", "ends with = or :", "is name", "prefix of a known key", "url or mail", "many different characters", "few different characters", "file like code", "end of line", "next is name", "next is a plain word", "next is mixed", "next is = or :", "name and = before it", "name and = before digits and letters"]
 _F = {n: i for i, n in enumerate(FEATURES)}
 _PREFIX = (b"ghp_", b"gho_", b"ghs_", b"sk-", b"sk_live", b"sk_test", b"pk_live", b"xoxb-", b"xoxp-", b"AIza", b"ASIA", b"glpat-", b"eyJ", b"npm_", b"SG.", b"ya29.", b"hf_", b"dop_v1_", b"shpat_")
 
@@ -131,6 +130,11 @@ def features(buf: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.
     same = np.append(False, doc[1:] == doc[:-1])
     back = lambda v: np.append(False, v[:-1]) & same
     alone = sign & (size == 1)
+    ahead = lambda v: np.append(v[1:], False) & np.append(same[1:], False)
+    on("next is name", ahead(name))
+    on("next is a plain word", ahead((lower + high == size) & ~sign))
+    on("next is mixed", ahead((digit > 0) & (upper + lower > 0)))
+    on("next is = or :", ahead(alone))
     on("after = or :", back(sign))
     on("after name", back(name) & ~sign | back(back(name) & alone) & ~sign)
     on("after name and =", (back(name & sign) | back(back(name) & alone)) & ~sign)
@@ -163,26 +167,65 @@ class Field:
         return tags
 
     def decode(self, score: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Tags for all tokens of several chains; score n x 3, bounds the chains' first tokens and the end.
+        """Best tags for all tokens of several chains; score n x 3, bounds the chains' first tokens and the end.
 
-        Leaving O for a stretch gains at most the sum of its tokens' gains plus a bound on the transitions, so stretches
-        in which no token gains are O in a best path.
+        Against the path of only O, a run of B and I adds its emissions' gains over O, the transitions into its tokens
+        and the one out of it, each less that from O to O; runs are apart by an O at least, so they add up. A run adds no
+        more than the sum of its tokens' `most` (largest gain and largest way in) and the largest way out. A token is
+        O in a best path if no run through it can add anything by this bound: the best such run is found from sums up to
+        each token. Between two tokens that aren't ruled out so all are decoded, with the O on either side held.
         """
         n = len(score)
         tags = np.full(n, O, np.int8)
-        free = max(0.0, float((self.moves[:, :2].max() - self.moves[O, O]) + (self.moves[:2].max() - self.moves[O, O])))
-        gain = score[:, :2].max(1) - score[:, O] + free
-        hot = np.flatnonzero(gain > 0)
+        if not n:
+            return tags
+        into = float((self.moves[:, :2] - self.moves[O, O]).max())
+        out = max(0.0, float((self.moves[:2, O] - self.moves[O, O]).max()))
+        most = score[:, :2].max(1) - score[:, O] + into
+        heads = bounds[:-1][np.diff(bounds) > 0]
+        most[heads] += max(0.0, -into)  # nothing leads into a chain's first token
+
+        def best_up_to(gain: np.ndarray, first: np.ndarray) -> np.ndarray:
+            """Largest sum of a run that ends at each token; `first` marks where chains begin."""
+            total = np.cumsum(gain)
+            before = total - gain
+            chain = np.cumsum(first)
+            low = before - chain * (wall := 2 * (np.abs(gain).sum() + 1))  # falls from chain to chain, so the least is the chain's own
+            return total - (np.minimum.accumulate(low) + chain * wall)
+
+        first, last = np.zeros(n, bool), np.zeros(n, bool)
+        first[heads], last[np.append(heads[1:], n) - 1] = True, True
+        reach = best_up_to(most, first) + best_up_to(most[::-1], last[::-1])[::-1] - most + out
+        hot = np.flatnonzero(reach > -1e-6 * (1 + np.abs(most).max()))
         if not len(hot):
             return tags
-        chain = np.searchsorted(bounds, hot, "right")
-        cut = np.flatnonzero((np.diff(hot) > 1) | (np.diff(chain) > 0)) + 1
-        for part in np.split(hot, cut):
-            a, b = part[0], part[-1] + 1
-            lead = bounds[np.searchsorted(bounds, a, "right") - 1]
-            tail = bounds[np.searchsorted(bounds, a, "right")]
-            low, top = max(lead, a - 1), min(tail, b + 1)
-            tags[low:top] = self.viterbi(score[low:top])
+        new = np.append(True, (np.diff(hot) > 1) | first[hot[1:]])
+        starts = hot[new]
+        stops = hot[np.append(new[1:], True)] + 1
+        lead, tail = ~first[starts], ~last[stops - 1]
+        size = stops - starts + lead + tail
+        for k in np.unique(size):  # runs of one size together
+            which = np.flatnonzero(size == k)
+            at = (starts - lead)[which][:, None] + np.arange(k)
+            part = score[at].astype(float)
+            part[lead[which], 0, :2] = -np.inf
+            part[tail[which], -1, :2] = -np.inf
+            part[~lead[which], 0, I] = -np.inf
+            tags[at] = self._many(part)
+        return tags
+
+    def _many(self, score: np.ndarray) -> np.ndarray:
+        """Best tags of m chains of equal length; score m x n x 3."""
+        m, n, _ = score.shape
+        best, back = score[:, 0].copy(), np.zeros((m, n, 3), np.int8)
+        for t in range(1, n):
+            step = best[:, :, None] + self.moves
+            back[:, t] = step.argmax(1)
+            best = step.max(1) + score[:, t]
+        tags, each = np.empty((m, n), np.int8), np.arange(m)
+        tags[:, -1] = best.argmax(1)
+        for t in range(n - 1, 0, -1):
+            tags[:, t - 1] = back[each, t, tags[:, t]]
         return tags
 
 
@@ -222,7 +265,7 @@ def train(chains: list[tuple[np.ndarray, np.ndarray]], rounds: int = 60, rate: f
     return Field(unary, moves)
 
 
-def lines_for_training(texts: list[str], seed: int = 5, most: int = TRAIN_WORDS) -> list[tuple[str, list[tuple[int, int]]]]:
+def lines_for_training(texts: list[str], seed: int = 5, lines: int = TRAIN_LINES) -> list[tuple[str, list[tuple[int, int]]]]:
     """(line, secret intervals) made from clean lines of `texts`: secrets of several makes are put in, and look-alikes.
 
     Labels are exact, since the secrets are ours: seeded random keys after names, bare keys with known prefixes, mixed
@@ -233,7 +276,7 @@ def lines_for_training(texts: list[str], seed: int = 5, most: int = TRAIN_WORDS)
     r = random.Random(seed)
     alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     pick = lambda abc, a, b: "".join(r.choice(abc) for _ in range(r.randint(a, b)))
-    words = [w for t in texts for w in t.split()[:most] if w.isalpha()] or ["word"]
+    words = [w for t in texts for w in t.split() if w.isalpha()] or ["word"]
     plain = lambda: r.choice(words)
     names = ["password", "client_secret", "access_key", "auth_token", "private_key", "secret_key", "pwd", "passphrase", "credential", "Authorization", "DB_PASSWORD", "key", "token", "api_key"]
     secret = [lambda: pick(alnum, 20, 48), lambda: pick("0123456789abcdef", 32, 64), lambda: pick(alnum + "+/", 36, 60) + "=", lambda: pick(alnum + "-_", 24, 44)]
@@ -241,7 +284,7 @@ def lines_for_training(texts: list[str], seed: int = 5, most: int = TRAIN_WORDS)
     bare = [lambda: "ghp_" + pick(alnum, 36, 36), lambda: "sk-" + pick(alnum, 32, 48), lambda: "AKIA" + pick(alnum[:26] + alnum[52:], 16, 16), lambda: "xoxb-" + pick("0123456789", 10, 12) + "-" + pick(alnum, 24, 24), lambda: "eyJ" + pick(alnum, 30, 50) + "." + pick(alnum, 30, 60)]
     decoy = [lambda: pick("0123456789", 8, 20), lambda: f"{plain()}.{r.randint(1, 99)}@mail{r.randint(1, 9)}.example.com", lambda: f"https://www.{plain()}.example.com/{plain()}/{r.randint(1, 9999)}?q={plain()}", lambda: f"/usr/{plain()}/{plain()}_{r.randint(1, 99)}.txt", lambda: f"2024-0{r.randint(1, 9)}-1{r.randint(0, 9)}T10:{r.randint(10, 59)}:00Z", lambda: (plain() + plain() + plain()).upper(), lambda: plain() + plain() + plain(), lambda: f"192.168.{r.randint(0, 255)}.{r.randint(0, 255)}", lambda: f"+49-{pick('0123456789', 3, 4)}-{pick('0123456789', 6, 8)}", lambda: plain() + r.choice(["***", "%%%", "###", "&&&", "!!"]), lambda: f"{plain()}-{plain()}-{plain()}", lambda: f"{plain()}{r.randint(1, 99)}", lambda: plain() * 4, lambda: f"{plain()}={plain()}", lambda: f"v{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}-{plain()}"]
     out: list[tuple[str, list[tuple[int, int]]]] = []
-    for _ in range(3 * TRAIN_ROWS):
+    for _ in range(lines):
         line, marks = "", []
 
         def add(s: str, secret: bool = False):
@@ -298,12 +341,12 @@ def chain_of(line: str, marks: list[tuple[int, int]]) -> tuple[np.ndarray, np.nd
     return features(buf, offsets, starts, ends), tags
 
 
-def fit(docs: DataFrame, rows: int = TRAIN_ROWS, text: str = "text", chars: int = TRAIN_CHARS, words: int = TRAIN_WORDS) -> Field:
-    """Train on lines made from at most `rows` texts, those with the least hash; the only bounded sample here."""
-    hashed = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+def fit(docs: DataFrame, rows: int = TRAIN_ROWS, text: str = "text", lines: int = TRAIN_LINES) -> Field:
+    """Train on `lines` lines made from the words of at most `rows` whole texts, those with the least hash; the only bounded sample here."""
+    hashed = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), F.col(text).cast("string").alias("t"))
     least = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(rows).collect()]  # numbers first, so few texts move
-    sample = hashed.filter(F.col("h") <= max(least, default=0)).groupBy("h").agg(F.min(F.substring("t", 1, chars)).alias("t")).orderBy("h").collect()
-    return train([c for c in (chain_of(*x) for x in lines_for_training([r.t for r in sample], most=words)) if len(c[1])])
+    sample = hashed.filter(F.col("h") <= max(least, default=0)).groupBy("h").agg(F.min("t").alias("t")).orderBy("h").collect()
+    return train([c for c in (chain_of(*x) for x in lines_for_training([r.t for r in sample], lines=lines)) if len(c[1])])
 
 
 def scan(docs: DataFrame, field: Field | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -311,7 +354,8 @@ def scan(docs: DataFrame, field: Field | None = None, doc_id: str = "doc_id", te
 
     spans is every span as kind:start:end (code points, end exclusive) by start and kind. Defined results: a null or empty
     text has no spans, and its base_sha256 is that of an empty string; rows that repeat, and null ids, are scanned as
-    they are; an empty table gives no rows (and its field knows only made-up words); other columns are ignored.
+    they are; a very long text is scanned whole; an empty table gives no rows (and its field knows only made-up words); other
+    columns are ignored.
     """
     field = fit(docs, text=text) if field is None else field
     unary, moves = field.unary, field.moves
@@ -336,33 +380,41 @@ def found(column: pa.Array, crf: Field) -> Iterator[tuple]:
         tags = crf.decode(features(part, at, starts, ends) @ crf.unary, np.unique(np.append(np.searchsorted(starts, at[:-1]), len(starts))))
         mine = np.flatnonzero(tags != O)
         edges = np.searchsorted(starts[mine], at)
+        points = np.append(0, np.cumsum((part & 0xC0) != 0x80)) if len(mine) else None  # code points before each byte
         for i in range(b - a):
-            yield _row(texts[i] or "", part, at[i], starts, ends, tags, mine[edges[i] : edges[i + 1]])
+            yield _row(texts[i] or "", points, at[i], starts, ends, tags, mine[edges[i] : edges[i + 1]])
 
 
-def _covered(a: int, b: int, base: list[tuple[int, int, int]]) -> bool:
-    """Whether spans, sorted by start, cover all of [a, b)."""
+def _union(base: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """(starts, ends) of the stretches that spans, sorted by start, cover together."""
+    starts: list[int] = []
+    ends: list[int] = []
     for s, e, _ in base:
-        if s <= a < e:
-            a = e
-    return a >= b
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
 
 
-def _row(text: str, part: np.ndarray, low: int, starts: np.ndarray, ends: np.ndarray, tags: np.ndarray, mine: np.ndarray) -> tuple:
+def _row(text: str, points: np.ndarray | None, low: int, starts: np.ndarray, ends: np.ndarray, tags: np.ndarray, mine: np.ndarray) -> tuple:
     base = base_spans(text)
     both = list(base)
     if len(mine):
+        cover = _union(base)
         cut = np.flatnonzero((np.diff(mine) > 1) | (tags[mine[1:]] == B)) + 1
         for g in np.split(mine, cut):
-            head = part[low : starts[g[0]]].tobytes().decode("utf-8", "ignore")
-            body = part[starts[g[0]] : ends[g[-1]]].tobytes().decode("utf-8", "ignore")
+            begin, stop = int(points[starts[g[0]]] - points[low]), int(points[ends[g[-1]]] - points[low])
+            body = text[begin:stop]
             trimmed = body.rstrip(",;.:!?()[]{}<>*%#&$|")
             lead = len(trimmed) - len(trimmed.lstrip("([{<,;:"))
             # a value written on to its name: the name isn't part of the secret
             if (m := re.match(r"[A-Za-z_.-]{2,40}[=:](?=.{6})", trimmed[lead:])) and not trimmed[lead:].lower().startswith("http"):
                 lead += m.end()
-            a, b = len(head) + lead, len(head) + len(trimmed)
-            if b > a and not _covered(a, b, base):
+            a, b = begin + lead, begin + len(trimmed)
+            k = bisect.bisect_right(cover[0], a) - 1
+            if b > a and not (k >= 0 and cover[1][k] >= b):  # not within base spans
                 both.append((a, b, 3))
     join = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], x[2])))
     n = [sum(k == i for _, _, k in both) for i in range(4)]

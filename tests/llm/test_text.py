@@ -379,10 +379,70 @@ def test_field_run_of_tokens_that_meets_a_base_span():
     part = np.frombuffer(b"x secret=abcdef more Tail9 y", np.uint8)
     starts, ends = secrets.tokens(part, np.array([0, len(part)]))
     tags = np.array([2, 0, 1, 1, 2])
-    row = secrets._row(part.tobytes().decode(), part, 0, starts, ends, tags, np.flatnonzero(tags != 2))
+    row = secrets._row(part.tobytes().decode(), np.arange(len(part) + 1), 0, starts, ends, tags, np.flatnonzero(tags != 2))
     assert row[4] == "assign:2:15,crf:9:26" and row[5] == 1
 
 
+def test_decoding_is_exact_for_random_fields():
+    r = np.random.default_rng(3)
+    for k in range(150):
+        field = secrets.Field(np.zeros((len(secrets.FEATURES), 3)), r.normal(size=(3, 3)) * r.choice([0.3, 1, 3]))
+        sizes = r.integers(1, 60, 8)
+        bounds = np.append(0, np.cumsum(sizes))
+        score = r.normal(size=(bounds[-1], 3)) * r.choice([0.3, 1, 3])
+        score[:, 2] += r.choice([0, 1, 4])
+        tags = field.decode(score, bounds)
+
+        def total(part, y):
+            return part[np.arange(len(y)), y].sum() + field.moves[y[:-1], y[1:]].sum()
+
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            part, best = score[a:b], field.viterbi(score[a:b])
+            assert tags[a] != 1 and abs(total(part, tags[a:b]) - total(part, best)) < 1e-9, k
+
+
+def test_dense_texts_take_time_in_proportion():
+    r = random.Random(5)
+    line = lambda: f"password=Ab12Cd34{r.randrange(10**6)}! ghp_{''.join(r.choice('abcXYZ0123456789') for _ in range(36))} é"
+    field = secrets.train([c for c in (secrets.chain_of(*x) for x in secrets.lines_for_training(sentences(1, 20))) if len(c[1])])
+    times = []
+    for n in (1500, 6000):
+        text = pa.array(["\n".join(line() for _ in range(n))])
+        began = time.perf_counter()
+        (row,) = secrets.found(text, field)
+        times.append(time.perf_counter() - began)
+        assert row[0] == n and row[5] >= n
+    assert times[1] < 8 * times[0] + 0.1
+
+
+def test_field_finds_secrets_planted_in_documents(spark):
+    """Secrets that no base pattern matches, one in each third document: recall and precision over whole texts."""
+    r = random.Random(44)
+    texts = [t for t in pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist() if t and not secrets.base_spans(t)]
+    pick = lambda abc, a, b: "".join(r.choice(abc) for _ in range(r.randint(a, b)))
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    forms = [lambda: ("ghp_" + pick(alnum, 36, 36), "{}"), lambda: ("sk-" + pick(alnum, 40, 44), "use {} here"), lambda: (pick(alnum, 28, 44), "client credential: {}"), lambda: (pick(alnum, 12, 20) + "7", "passphrase = {}"), lambda: (pick(alnum + "-_", 30, 40), "pwd={}")]
+    planted, rows = {}, []
+    for i, t in enumerate(texts):
+        if i % 3 == 0:
+            secret, form = r.choice(forms)()
+            words = t.split(" ")
+            at = r.randrange(len(words))
+            head = " ".join(words[:at]) + (" " if at else "")
+            shown = form.format(secret)
+            t = f"{head}{shown} {' '.join(words[at:])}"
+            a = len(head) + shown.index(secret)
+            if not secrets.base_spans(t):
+                planted[i] = (a, a + len(secret))
+        rows.append((i, t))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: [tuple(map(int, y.split(":")[1:])) for y in x.spans.split(",") if y.startswith("crf")] for x in secrets.scan(df).collect()}
+    hit = sum(any(x <= a and b <= y for x, y in got[i]) for i, (a, b) in planted.items())
+    wrong = sum(not (i in planted and x < planted[i][1] and planted[i][0] < y) for i, spans in got.items() for x, y in spans)
+    assert len(planted) > 30
+    assert hit >= 0.9 * len(planted) and hit >= 0.9 * (hit + wrong), (hit, wrong, len(planted))
+
+
 @pytest.mark.parametrize("form", ["pwd: {}", "pwd={}", 'passphrase = "{}"', "client credential: {}"])
 def test_field_recall_of_short_secrets(form):
     field = secrets.train([c for c in (secrets.chain_of(*x) for x in secrets.lines_for_training(sentences(1, 20))) if len(c[1])])
