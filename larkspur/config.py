@@ -1,4 +1,4 @@
-"""Settings. Only keys that do something are accepted; unknown ones are reported."""
+"""Settings. Only keys that do something are accepted; unknown ones, and those that Spark decides itself, are reported."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import warnings
 from dataclasses import dataclass, field
 from pathlib import Path
 
-_BOOLS = {"enableMasking": "enable_masking", "maskInEnvironments": "mask_in_environments", "cpu.multithreading.enabled": "multithreading", "gpu.inference.enabled": "gpu"}
+_BOOLS = {"enableMasking": "enable_masking", "maskInEnvironments": "mask_in_environments", "cpu.multithreading.enabled": "multithreading", "gpu.inference.enabled": "gpu", "enableFallback": "enable_fallback", "maskOrphanInside": "mask_orphan_inside"}
 _TEXTS = {"mode": "mode", "tokenizerPath": "tokenizer_path", "modelPath": "model_path", "log.file": "log_file"}
 MODES = ("CPU_SINGLE", "CPU_MULTI", "GPU", "KAFKA")
 
@@ -26,6 +26,15 @@ class Config:
     mask_orphan_inside: bool = False
     kafka: dict[str, str] = field(default_factory=dict)
 
+    @property
+    def threads(self) -> int:
+        """Threads of one task's model: more than one only if multithreading is on. Spark runs tasks side by side anyway."""
+        return max(1, self.max_threads) if self.multithreading or self.mode == "CPU_MULTI" else 1
+
+    @property
+    def on_gpu(self) -> bool:
+        return self.gpu or self.mode == "GPU"
+
     @classmethod
     def from_properties(cls, values: dict[str, str], prefix: str = "") -> Config:
         """From flat string properties; `prefix` (with its dot) is cut off keys that have it, others are left out."""

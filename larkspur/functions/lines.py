@@ -49,7 +49,7 @@ def event_json(message: Column, level: Column, trace: Column, seq: Column, ts_ms
     return F.to_json(F.struct(message.alias("message"), level.alias("level"), trace.alias("traceId"), seq.alias("sequenceNumber"), ts_ms.alias("timestamp"), id.alias("id")))
 
 
-JSON_SCHEMA = "message string, level string, traceId string, sequenceNumber int, timestamp bigint, id string"
+JSON_SCHEMA = "message string, level string, showLastFour boolean, traceId string, sequenceNumber int, timestamp bigint, id string"
 
 
 def parse_json(value: Column) -> Column:

@@ -6,7 +6,8 @@ import json
 from pathlib import Path
 from typing import Protocol
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import LABELS
@@ -20,12 +21,25 @@ def pretokenize(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), 0)
 
 
+def token_rows(rows: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    """(keys, token, start, end): a row for each token, offsets in code points.
+
+    A token's place is found from the characters of the pieces before it: a running sum over the pieces of a text, as
+    rows, so time is in proportion to a text's length. `keys` tell texts apart; texts that repeat a key are one.
+    """
+    parts = rows.select(*keys, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(TOKEN_OR_SPACE), 0)).alias("_i", "token"))
+    end = F.sum(F.length("token")).over(Window.partitionBy(*keys).orderBy("_i")).cast("int")
+    return parts.withColumn("end", end).withColumn("start", F.col("end") - F.length("token")).filter(~F.col("token").rlike(r"^\s+$")).select(*keys, "token", "start", "end")
+
+
 def token_offsets(text: Column) -> Column:
-    """array<struct<token, start, end>> in code points: one pass over tokens and the white space between them."""
-    parts = F.transform(F.regexp_extract_all(text, F.lit(TOKEN_OR_SPACE), 0), lambda k: F.struct(k.alias("token"), F.length(k).alias("n")))
-    ends = F.aggregate(parts, F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + p["n"])))
-    placed = F.zip_with(parts, F.slice(ends, 1, F.size(parts)), lambda p, s: F.struct(p["token"].alias("token"), s.alias("start"), (s + p["n"]).alias("end")))
-    return F.filter(placed, lambda p: ~p["token"].rlike(r"^\s+$"))
+    """array<struct<token, start, end>> in code points, in one Arrow pass over the text: linear, and without a shuffle."""
+
+    @F.pandas_udf("array<struct<token:string,start:int,end:int>>")
+    def placed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else [{"token": k, "start": a, "end": b} for k, a, b in split_words(t)])
+
+    return placed(text)
 
 
 def attention_mask(ids: Column) -> Column:
@@ -64,7 +78,11 @@ class WordPiece:
 
     @classmethod
     def load(cls, path: str) -> WordPiece:
-        return cls(json.loads(Path(path).read_text())["model"]["vocab"])
+        """From a tokenizer's JSON file, or from a text file with a piece in each line, numbered from 0."""
+        text = Path(path).read_text(encoding="utf-8")
+        if path.endswith(".json"):
+            return cls(json.loads(text)["model"]["vocab"])
+        return cls({piece: i for i, piece in enumerate(text.splitlines())})
 
     def pieces(self, word: str) -> list[str]:
         out, at = [], 0

@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tokens import WordPiece, bio_spans, split_words
+from ..config import Config
+from ..functions.tokens import Tokenizer, WordPiece, bio_spans, split_words
 from ..schema import LABELS
 
 BATCH, MOST = 8, 512
@@ -52,37 +53,63 @@ class OnnxBackend:
     """A token-classification model file. Texts longer than the model's input go in overlapping windows, so no part of a
     text stays unmasked."""
 
-    def __init__(self, model: str, tokenizer: WordPiece, gpu: bool = False, overlap: int = 64):
-        import onnxruntime
-
-        options = onnxruntime.SessionOptions()
-        options.intra_op_num_threads = 1  # Spark runs the tasks side by side
-        providers = ["CUDAExecutionProvider"] * gpu + ["CPUExecutionProvider"]
-        self.session = onnxruntime.InferenceSession(model, options, providers=providers)
-        self.tokenizer, self.overlap = tokenizer, overlap
-
-    def spans(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
+    def __init__(self, model: str, tokenizer: Tokenizer, gpu: bool = False, overlap: int = 64, threads: int = 1, orphans: bool = False, session=None):
+        """`session` stands for the model's file if given: run(None, inputs) returns [logits]."""
+        if session is None:
+            import onnxruntime
+
+            options = onnxruntime.SessionOptions()
+            options.intra_op_num_threads = threads  # Spark runs the tasks side by side
+            there = onnxruntime.get_available_providers()
+            wanted = ["CUDAExecutionProvider"] * gpu + ["CPUExecutionProvider"]
+            session = onnxruntime.InferenceSession(model, options, providers=[p for p in wanted if p in there])
+        self.session, self.tokenizer, self.overlap, self.orphans = session, tokenizer, overlap, orphans
+
+    def _run(self, some: list[tuple[int, list[int], list]]) -> np.ndarray:
+        """Logits of windows, padded to the longest of them."""
+        width = max(len(ids) for _, ids, _ in some)
+        ids = np.zeros((len(some), width), np.int64)
+        mask = np.zeros_like(ids)
+        for k, (_, x, _) in enumerate(some):
+            ids[k, : len(x)], mask[k, : len(x)] = x, 1
+        return self.session.run(None, {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)})[0]
+
+    def _windows(self, texts: list[str]) -> list[tuple[int, list[int], list]]:
         parts = []
         for i, t in enumerate(texts):
             ids, offsets = self.tokenizer.tokenize(t)
             for a in range(0, max(1, len(ids) - self.overlap), MOST - self.overlap):
                 parts.append((i, ids[a : a + MOST], offsets[a : a + MOST]))
+        return parts
+
+    def scores(self, text: str) -> list[list[float]]:
+        """Raw scores (tokens x classes) of one text."""
+        out: list[list[float]] = []
+        for part in self._windows([text]):
+            out += self._run([part])[0, : len(part[1])].tolist()
+        return out
+
+    def spans(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
+        parts = self._windows(texts)
         found: list[set] = [set() for _ in texts]
         for low in range(0, len(parts), BATCH):
             some = parts[low : low + BATCH]
-            width = max(len(ids) for _, ids, _ in some)
-            ids = np.zeros((len(some), width), np.int64)
-            mask = np.zeros_like(ids)
-            for k, (_, x, _) in enumerate(some):
-                ids[k, : len(x)], mask[k, : len(x)] = x, 1
-            logits = self.session.run(None, {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)})[0]
+            logits = self._run(some)
             best = np.where(np.isnan(logits[..., :1]), 0, np.nan_to_num(logits, nan=-np.inf).argmax(-1)[..., None])[..., 0]
             for k, (i, x, offsets) in enumerate(some):
                 labels = [LABELS[p] if p < len(LABELS) else "O" for p in best[k, : len(x)]]
-                found[i].update(bio_spans(labels, offsets, len(texts[i])))
+                found[i].update(bio_spans(labels, offsets, len(texts[i]), self.orphans))
         return [sorted(s) for s in found]
 
 
+def from_config(config: Config) -> Callable[[], Backend]:
+    """What makes a worker's backend: the model and tokenizer that the settings name, or the rules if they name none."""
+    if not config.model_path:
+        return RuleBackend
+    if not config.tokenizer_path:
+        raise ValueError("a model needs a tokenizerPath")
+    return lambda: OnnxBackend(config.model_path, WordPiece.load(config.tokenizer_path), config.on_gpu, threads=config.threads, orphans=config.mask_orphan_inside)
+
 
 def add_spans(df: DataFrame, text: str, make: Callable[[], Backend] = RuleBackend, to: str = "spans", batch: int = BATCH) -> DataFrame:
     """`df` with the backend's spans of the text (none for a null). Filter rows before: a filter above doesn't reach below.

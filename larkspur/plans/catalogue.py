@@ -158,14 +158,26 @@ def argmax_labels(spark, sf):
 _RULE_LABEL = "case when (pos + doc_id) % 11 = 0 then 'B-SSN' when (pos + doc_id) % 11 in (1, 2) then 'I-SSN' when (pos + doc_id) % 7 = 3 then 'B-EMAIL' when (pos + doc_id) % 7 = 4 then 'I-PHONE' when (pos + doc_id) % 13 = 5 then 'I-EMAIL' else 'O' end"
 
 
-def _labelled(spark, sf) -> DataFrame:
-    x = _t(spark, sf, "documents").select("doc_id", F.posexplode(K.pretokenize(F.col("text"))).alias("pos", "token"))
+def _rule_spans(spark, sf) -> DataFrame:
+    """(doc_id, start, end, entity): labels by rule, decoded within each row."""
+    k = K.pretokenize(F.col("text"))
+    doc = lambda pos: F.col("doc_id") + pos
+    label = lambda pos: F.when(doc(pos) % 11 == 0, "B-SSN").when((doc(pos) % 11).isin(1, 2), "I-SSN").when(doc(pos) % 7 == 3, "B-EMAIL").when(doc(pos) % 7 == 4, "I-PHONE").when(doc(pos) % 13 == 5, "I-EMAIL").otherwise("O")
     # offsets of the first token stand for a special one
-    return x.withColumn("label", F.expr(_RULE_LABEL)).withColumn("start", F.expr("case when pos = 0 then -1 else pos end")).withColumn("end", F.expr("case when pos = 0 then -1 else pos + 1 end")).withColumn("length", F.lit(1 << 30))
+    place = lambda step: F.transform(k, lambda _, i: F.when(i == 0, -1).otherwise(i + step))
+    spans = decode.bio_spans(F.transform(k, lambda _, i: label(i)), place(0), place(1), F.lit(1 << 30))
+    return _t(spark, sf, "documents").select("doc_id", F.explode(spans).alias("s")).select("doc_id", "s.*")
 
 
 def bio_decode_spans(spark, sf):
-    return decode.bio_decode(_labelled(spark, sf), ["doc_id"])
+    return _rule_spans(spark, sf)
+
+
+def bio_decode_rows(spark, sf):
+    """The same spans, from tokens as rows."""
+    x = _t(spark, sf, "documents").select("doc_id", F.posexplode(K.pretokenize(F.col("text"))).alias("pos", "token"))
+    x = x.withColumn("label", F.expr(_RULE_LABEL)).withColumn("start", F.expr("case when pos = 0 then -1 else pos end")).withColumn("end", F.expr("case when pos = 0 then -1 else pos + 1 end")).withColumn("length", F.lit(1 << 30))
+    return decode.bio_decode(x, ["doc_id"])
 
 
 _BIO_SQL = f"""tok as (select doc_id, generate_subscripts(k, 1) - 1 as pos from (select doc_id, regexp_extract_all(text, '{K.TOKEN}') as k from documents)),
@@ -178,7 +190,7 @@ bio as (select doc_id, start, "end", entity from spn where kind = 'B' and start
 
 
 def entity_types(spark, sf):
-    x = decode.bio_decode(_labelled(spark, sf), ["doc_id"])
+    x = _rule_spans(spark, sf)
     return x.groupBy("doc_id").agg(F.concat_ws(",", F.array_sort(F.collect_set("entity"))).alias("types"))
 
 
@@ -253,24 +265,73 @@ def lint_literals(spark, sf):
     return lint.lint(src).select("path", "line", "call", "severity")
 
 
-def stream_mask(spark, sf):
-    """Lines through a file stream with one checkpoint, read back: equal to the batch result."""
+def _stream_folder(spark: SparkSession) -> str:
+    """A new folder that all executors share: below spark.checkpoint.dir; only a local master may leave it unset."""
+    import re
     import tempfile
     import uuid
 
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local($|\[)", spark.conf.get("spark.master", "local")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="larkspur-")
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def stream_mask(spark, sf):
+    """Lines through a file stream with one checkpoint, read back: equal to the batch result."""
     from ..streaming.stream import line_stream, mask_stream
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-")
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = _stream_folder(spark)
     format_log_lines(spark, sf).select("line").write.text(f"{path}/in")
     mask_stream(line_stream(spark, f"{path}/in"), f"{path}/out", f"{path}/checkpoint", once=True).awaitTermination()
     return spark.read.text(f"{path}/out")
 
 
-QUERIES = {f.__name__: f for f in (mask_email_documents, mask_ssn_messages, mask_fallback, mask_span_last4, mask_span_full, format_log_lines, parse_log_lines, parse_fallback, route_secure, trace_sequence, event_ids, round_robin_writers, pretokenize_documents, token_offsets, argmax_labels, bio_decode_spans, entity_types, apply_spans, batch_shapes, message_format, event_json, json_events, hash_payload, secure_pipeline, leak_audit, wordpiece_tokens, ner_mask_rules, lint_literals, stream_mask)}
+def stream_json(spark, sf):
+    """JSON records through a file stream: masked lines to one sink, what is no event to the quarantine."""
+    from ..streaming.stream import line_stream, mask_json_stream
+
+    path = _stream_folder(spark)
+    e = _events(spark, sf).withColumn("level", F.expr("case when event_id % 11 = 0 then 'FATAL' else level end")).withColumn("props", F.expr("case when event_id % 3 = 0 then concat(props, ' 123-45-6789') else props end"))
+    j = L.event_json(F.col("props"), F.col("level"), F.col("trace_id"), F.col("seq"), F.unix_millis(F.col("ts").cast("timestamp")), L.event_id(F.col("level"), F.col("ts"), F.col("seq")))
+    e.select(F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("no json "), "event_id")).otherwise(j).alias("value")).write.text(f"{path}/in")
+    mask_json_stream(line_stream(spark, f"{path}/in"), f"{path}/out", f"{path}/bad", f"{path}/checkpoint", once=True).awaitTermination()
+    read = lambda folder, bad: spark.read.text(f"{path}/{folder}").select("value", F.lit(bad).alias("bad"))
+    return read("out", False).union(read("bad", True))
+
+
+def quiet_calls(spark, sf):
+    """Events of named loggers, without quiet levels and forms of call."""
+    form = "case event_id % 5 when 0 then 'two arguments' when 1 then 'throwable' when 2 then 'one argument' else 'plain' end"
+    e = _events(spark, sf).withColumn("logger", F.expr("case when user_id % 3 = 0 then null else concat(case when user_id % 2 = 0 then 'app.' else 'lib.' end, event_type) end")).withColumn("form", F.expr(form)).withColumn("level", F.expr("case when event_id % 6 = 0 then 'TRACE' else level end"))
+    return pipeline.silenced(pipeline.only_loggers(e, "app."), "form").select("event_id", "logger", "level", "form")
+
+
+def raw_mode(spark, sf):
+    """A producer's mode: every level goes out as it is."""
+    e = _events(spark, sf).select("event_id", F.col("props").alias("message"), "level", F.lit(False).alias("show_last_four"), "trace_id", "seq", "ts")
+    return pipeline.mask_events(e, Config(mode="KAFKA")).select("event_id", "masked", "line")
+
+
+QUERIES = {f.__name__: f for f in (mask_email_documents, mask_ssn_messages, mask_fallback, mask_span_last4, mask_span_full, format_log_lines, parse_log_lines, parse_fallback, route_secure, trace_sequence, event_ids, round_robin_writers, pretokenize_documents, token_offsets, argmax_labels, bio_decode_spans, bio_decode_rows, entity_types, apply_spans, batch_shapes, message_format, event_json, json_events, hash_payload, secure_pipeline, leak_audit, wordpiece_tokens, ner_mask_rules, lint_literals, stream_mask, stream_json, quiet_calls, raw_mode)}
 
 _ID_SQL = "concat(level, '-', cast(epoch_us(ts) // 1000 as varchar), '-', cast(seq as varchar))"
 _MASK = lambda t: f"regexp_replace({t}, '{_AL}', '•', 'g')"
+_HEADS, _TAILS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,;:", "abcdefghijklmnopqrstuvwxyz0123456789"
+_PIECES_SQL = f"""with k as (select doc_id, regexp_extract_all(text, '{K.TOKEN}') as k from documents),
+h as (select doc_id, list_transform(k, lambda w: struct_pack(w := w, h := regexp_extract(w, '^(the|[a-zA-Z0-9.,;:])', 1))) as k from k),
+r as (select doc_id, list_transform(k, lambda x: struct_pack(h := x.h, r := substr(x.w, length(x.h) + 1), c := regexp_extract(substr(x.w, length(x.h) + 1), '^((?:tion|ing|[a-z0-9])*)', 1))) as k from h),
+p as (select doc_id, list_transform(k, lambda x: case when x.h = '' then [100] else list_concat([case when x.h = 'the' then 500 else 199 + instr('{_HEADS}', x.h) end],
+  list_transform(regexp_extract_all(x.c, 'tion|ing|[a-z0-9]'), lambda y: case y when 'ing' then 501 when 'tion' then 502 else 399 + instr('{_TAILS}', y) end), case when x.c = x.r then [] else [100] end) end) as k from r),
+i as (select doc_id, list_concat([101], flatten(k), [102]) as ids from p)
+select doc_id, cast(len(ids) as int) as n, sha256(array_to_string(list_transform(ids, lambda x: cast(x as varchar)), ',')) as digest from i"""
+_JSON_SQL = f"cast(to_json(struct_pack(message := props, level := level, traceId := trace_id, sequenceNumber := seq, \"timestamp\" := epoch_us(ts) // 1000, id := {_ID_SQL})) as varchar)"
+_STREAM_SQL = f"""with {_EVENTS_SQL.replace("ev as", "e0 as")}, ev as (select * replace (case when event_id % 11 = 0 then 'FATAL' else level end as level, case when event_id % 3 = 0 then concat(props, ' 123-45-6789') else props end as props) from e0),
+m as (select *, case when event_id % 7 = 0 then concat('no json ', cast(event_id as varchar)) else {_JSON_SQL} end as record, event_id % 7 = 0 or level = 'FATAL' as bad, make_timestamp(epoch_us(ts) // 1000 * 1000) as ms from ev),
+n as (select record, bad, ms as ts, level, trace_id, seq, case when level = 'SECURE' then {_ssn_sql("props")} else props end as props from m)
+select case when bad then record else {_LINE_SQL} end as value, bad from n"""
 ORACLES = {
     "mask_email_documents": f"select doc_id, {_mail_sql('text')} as masked from documents",
     "mask_ssn_messages": f"with {_MESSAGES_SQL} select k, {_ssn_sql('message')} as masked from msg",
@@ -296,5 +357,13 @@ ORACLES = {
     "json_events": f"with {_EVENTS_SQL} select event_id, props as message, level, cast(seq as int) as seq from ev",
     "hash_payload": "select event_id, concat(sha256(props), regexp_replace(props, '[aeiou]', '*', 'g')) as h from events",
     "secure_pipeline": _PIPELINE_SQL,
+    "bio_decode_rows": f"with {_BIO_SQL} select * from bio",
+    "wordpiece_tokens": _PIECES_SQL,
+    "ner_mask_rules": f"with {_MESSAGES_SQL} select k, concat('timestamp=2024-01-01T00:00:00.000000 level=SECURE traceId=t seq=', cast(k as varchar), ' message=\"User SSN: •••-••-', right(ssn, 4), ' email: ', {_MASK("concat(lower(replace(n, '#', '.')), '@mail', cast(k % 7 as varchar), '.example.com')")}, ' phone (•••) •••-', right(phone, 4), ' acct ', n, '\"') as line from msg",
+    "stream_mask": f"with {_EVENTS_SQL} select {_LINE_SQL} as value from ev",
+    "stream_json": _STREAM_SQL,
+    "lint_literals": f"with {_MESSAGES_SQL} select concat(cast(k as varchar), '.java') as path, cast(2 as int) as line, 'info' as call, 'ERROR' as severity from msg where k % 2 <> 0",
+    "quiet_calls": f"with {_EVENTS_SQL}, x as (select event_id, concat('app.', event_type) as logger, case when event_id % 6 = 0 then 'TRACE' else level end as level, case event_id % 5 when 0 then 'two arguments' when 1 then 'throwable' when 2 then 'one argument' else 'plain' end as form from ev where user_id % 3 <> 0 and user_id % 2 = 0) select * from x where level <> 'TRACE' and form not in ('two arguments', 'throwable')",
+    "raw_mode": f"with {_EVENTS_SQL} select event_id, false as masked, {_LINE_SQL} as line from ev",
     "leak_audit": f"with {_EVENTS_SQL} select level, count(*) as messages, count(*) filter (event_id % 10 = 0) as leaks from ev where level <> 'SECURE' group by level",
 }

@@ -23,26 +23,55 @@ def gate(level: Column, config: Config, honour_config: bool = True) -> Column:
 
 
 def logger_enabled(logger: Column, prefix: str) -> Column:
-    return logger.startswith(prefix)
+    """Whether a logger takes part: its name begins with the prefix. One without a name doesn't."""
+    return F.coalesce(logger.startswith(prefix), F.lit(False))
+
+
+def only_loggers(events: DataFrame, prefix: str, logger: str = "logger") -> DataFrame:
+    """The events of loggers that take part, none of them changed; others' are dropped before any work is done on them."""
+    return events.filter(logger_enabled(F.col(logger), prefix))
+
+
+#: Calls that write nothing, by level and by the form of their arguments.
+QUIET_LEVELS, QUIET_FORMS = ("TRACE",), ("two arguments", "varargs", "throwable", "marker")
+
+
+def silenced(events: DataFrame, form: str | None = None) -> DataFrame:
+    """`events` without those of quiet levels and (with the column `form`, how each was called) of quiet forms."""
+    quiet = F.coalesce(F.col("level").isin(*QUIET_LEVELS), F.lit(False))
+    if form is not None:
+        quiet = quiet | F.coalesce(F.col(form).isin(*QUIET_FORMS), F.lit(False))
+    return events.filter(~quiet)
+
+
+def stamped(events: DataFrame, clock: str = "ts") -> DataFrame:
+    """`events` whose missing times are the query's own clock, read once, so all rows of a batch have one stamp."""
+    return events.withColumn(clock, F.coalesce(F.col(clock), F.current_timestamp().cast(events.schema[clock].dataType)))
 
 
 def mask_events(events: DataFrame, config: Config | None = None, make: Callable[[], Backend] | None = None, honour_config: bool = True) -> DataFrame:
-    """`events` (message, level, show_last_four, trace_id, seq, ts) with masked (boolean) and line.
+    """`events` (message, level, show_last_four, trace_id, seq, ts) with masked (boolean) and line added at the end.
 
     Without a backend the plan is projections only. With one, only the text of messages that pass the gate goes to
-    Python; other rows send a null.
+    Python; other rows send a null. Other columns stay as they are; those called masked or line are an error, since the
+    result has columns of these names.
     """
     config = config or Config()
+    names = list(events.columns)
+    if clash := {"masked", "line"} & set(names):
+        raise ValueError(f"columns of the result are in the input: {', '.join(sorted(clash))}")
     raw = config.mode == "KAFKA"  # a producer sends every level as it is; its consumer masks
-    on = F.lit(False) if raw else gate(F.col("level"), config, honour_config)
-    x = events.withColumn("masked", on)
-    text = mask_fallback(F.col("message")) if config.enable_fallback else F.col("message")
+    own = [f"_c{i}" for i in range(len(names))]  # so that no name of the input meets one used here
+    at = {c: F.col(k) for c, k in zip(names, own, strict=True)}
+    on = F.lit(False) if raw else gate(at["level"], config, honour_config)
+    x = events.toDF(*own).withColumn("masked", on)
+    text = mask_fallback(at["message"]) if config.enable_fallback else at["message"]
     if make is not None and not raw:
-        x = add_spans(x.withColumn("_secret", F.when(F.col("masked"), F.col("message"))), "_secret", make, "_spans")
-        text = apply_spans(text, F.col("_spans"), F.coalesce("show_last_four", F.lit(False)))
-    shown = F.when(F.col("masked"), text).otherwise(F.col("message"))
-    x = x.withColumn("message", shown)
-    return x.withColumn("line", format_line(F.col("ts"), F.col("level"), F.col("trace_id"), F.col("seq"), F.col("message"))).drop("_secret", "_spans")
+        x = add_spans(x.withColumn("secret", F.when(F.col("masked"), at["message"])), "secret", make, "spans")
+        text = apply_spans(text, F.col("spans"), F.coalesce(at["show_last_four"], F.lit(False)))
+    x = x.withColumn("shown", F.when(F.col("masked"), text).otherwise(at["message"]))
+    line = format_line(at["ts"], at["level"], at["trace_id"], at["seq"], F.col("shown")).alias("line")
+    return x.select(*(F.col("shown" if c == "message" else k).alias(c) for c, k in zip(names, own, strict=True)), "masked", line)
 
 
 def mask_lines(lines: DataFrame, config: Config | None = None, make: Callable[[], Backend] | None = None, strict: bool = False, ts: Column | None = None, value: str = "value") -> DataFrame:
