@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 
 from . import files
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of a write: shuffle files go as soon as their query has ended, and Arrow batches of long texts stay small.
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
 #: Bytes of text that one numpy pass works on; arrays are some 60 times that.
 CHUNK_BYTES = 1 << 20
 _own: list[str] = []
 _lock = threading.Lock()
-_writing: dict[int, list] = {}  # session -> [writes that run, the setting before them]
+_writing: dict[int, list] = {}  # session -> [writes that run, the settings before them]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,20 +45,21 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 @contextlib.contextmanager
-def _dropping_shuffles(spark: SparkSession) -> Iterator[None]:
-    """While any write of this session runs, shuffle files go as soon as their query has ended; the last one restores the setting."""
+def _settings(spark: SparkSession) -> Iterator[None]:
+    """_SETTINGS hold while any write of this session runs; the last one puts back what there was."""
     with _lock:
-        held = _writing.setdefault(id(spark), [0, spark.conf.get(_CLEANUP, None)])
+        held = _writing.setdefault(id(spark), [0, {k: spark.conf.get(k, None) for k in _SETTINGS}])
         held[0] += 1
-        spark.conf.set(_CLEANUP, "true")
+        for k, v in _SETTINGS.items():
+            spark.conf.set(k, v)
     try:
         yield
     finally:
         with _lock:
             held[0] -= 1
             if not held[0]:
-                before = _writing.pop(id(spark))[1]
-                spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+                for k, v in _writing.pop(id(spark))[1].items():
+                    spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -66,7 +68,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     The shuffle files behind the written table go at once; else they stay until the driver happens to collect garbage.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    with _dropping_shuffles(spark):
+    with _settings(spark):
         # planned anew, as the setting is read when a query is planned
         df.select("*").write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
