@@ -6,9 +6,12 @@ close that a partner at the threshold may live there: unit vectors x at home in
 at most d = sqrt(2 - 2 t) apart, and both lie on their own side of the plane that halves the centres of a and b, so one
 of them is within d / 2 of it. Guests are those within d / 2, which loses no pair whatever the centres are.
 
-Centres are fitted on a bounded sample (`sample` rows, the least by a hash of the id); every vector is assigned. Cells
-are split into blocks and pairs of blocks, so a cell of any size is many bounded tasks; tasks return counts and a
-spanning forest, never pairs.
+Cells are recursive: the vectors of one label and length are the first cell, and a cell that holds too many is split by
+centres of its own, so cells stay small at any size of the input. The argument above holds inside a cell too, for its
+guests as well. Centres are fitted in tasks on a bounded sample of their cell (`sample` rows, by a hash of the id); every
+vector is assigned, and nothing comes to the driver. A cell whose sample says that a split would not halve the pairs stays
+whole. Cells are compared in blocks and pairs of blocks, so one of any size is many bounded tasks; tasks return counts and
+a spanning forest, never pairs.
 """
 
 from __future__ import annotations
@@ -25,8 +28,12 @@ from ._common import block_tasks, groups, materialize, roots
 from .graph import components
 
 THRESHOLD, BLOCK = 0.98, 512
-#: Rows that the centres are fitted on, rows that one cell should hold, and most centres.
-SAMPLE, CELL, CELLS = 20_000, 2_000, 512
+#: Rows that one cell's centres are fitted on, rows that a cell should hold, most centres of one cell, most levels of cells.
+SAMPLE, CELL, CELLS, DEPTH = 20_000, 2_000, 512, 6
+#: Rows of a cell that are dealt by one group of a task; a cell is split if at most this share of its pairs is left.
+SLICE, WORTH = 4_096, 0.5
+#: What names a cell, and the columns of rows in cells: a cell's name and path, the row's home and cells on each level.
+BY, COLUMNS = ["label", "dim", "cell"], ["rep", "label", "n", "k", "dim", "cell", "path", "homes", "within", "x"]
 _SLACK = 1e-9
 
 
@@ -55,58 +62,115 @@ def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values, column.offsets.to_numpy().astype(np.int64) - column.offsets[0].as_py()
 
 
-def _cells(centres: np.ndarray, margin: float):
-    """Deal unit vectors to their home cell and to those that they are guests in."""
+def _guests(x: np.ndarray, centres: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """(home cell of each unit row, whether it belongs to each cell: at home or as a guest)."""
     gap = np.linalg.norm(centres[:, None] - centres[None, :], axis=2)
+    near = x @ centres.T
+    home = near.argmax(1)
+    inside = (near[np.arange(len(x)), home][:, None] - near) / np.maximum(gap[home], 1e-300) <= margin + _SLACK
+    inside[np.arange(len(x)), home] = True
+    return home, inside
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Rows of a list column of equal lengths."""
+    values, offsets = _rows(column.combine_chunks())
+    return values.reshape(len(offsets) - 1, -1)
+
+
+def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the unit vector, on which all later steps work."""
+    for batch in batches:
+        values, offsets = _rows(batch.column(5))
+        dims, x = np.diff(offsets), np.empty_like(values)
+        for dim in np.unique(dims):
+            at = offsets[:-1][dims == dim][:, None] + np.arange(dim)
+            x[at] = values[at] / np.linalg.norm(values[at], axis=1, keepdims=True)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x))], names=["rep", "label", "n", "k", "dim", "x"])
+
+
+def _fit(margin: float, sample: int, cell: int, cells: int):
+    """Centres of each group that gets cheaper by a split, from its sample: (label, dim, cell, m, centres)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, offsets = _rows(batch.column(4))
-            dims = np.diff(offsets)
-            for dim in np.unique(dims):  # vectors of another length than the centres' share cell 0: none is near another
-                which = np.flatnonzero(dims == dim)
-                x = values[offsets[which][:, None] + np.arange(dim)]
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                if dim == centres.shape[1]:
-                    near = x @ centres.T
-                    home = near.argmax(1)
-                    far = (near[np.arange(len(x)), home][:, None] - near) / np.maximum(gap[home], 1e-300)
-                    guest = far <= margin + _SLACK
-                    guest[np.arange(len(x)), home] = True
-                else:
-                    guest, home = np.ones((len(x), 1), bool), np.zeros(len(x), np.int64)
-                row, cell = np.nonzero(guest)
-                lists = np.split(cell, np.flatnonzero(np.diff(row)) + 1)
-                for a in range(0, len(row), 4096):
-                    r, c = row[a : a + 4096], cell[a : a + 4096]
-                    pick = pa.array(which[r])
-                    yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pick) for i in range(4)), pa.array(np.full(len(r), dim), pa.int32()), pa.array(c, pa.int32()), pa.array(home[r], pa.int32()), pa.array([lists[i] for i in r], pa.list_(pa.int32())), pa.array(list(x[r]), pa.list_(pa.float64()))], names=["rep", "label", "n", "k", "dim", "cell", "home", "cells", "x"])
+        for t in groups(batches, BY):
+            x, m = _matrix(t.column("x").slice(0, sample)), t.column("m")[0].as_py()
+            centres = spherical_kmeans(x, min(cells, math.ceil(m / cell)))
+            part = _guests(x, centres, margin)[1].mean(0)
+            if (part**2).sum() <= WORTH:  # pairs to compare, against one cell
+                yield pa.RecordBatch.from_arrays([*(t.column(c).slice(0, 1).combine_chunks() for c in (*BY, "m")), pa.array([centres.tobytes()], pa.binary())], names=[*BY, "m", "centres"])
 
     return run
 
 
+def _deal(margin: float):
+    """Deal the rows of each slice of a cell to their home cell inside it and to those that they are guests in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, [*BY, "slice"]):
+            kind = t.column("centres").is_valid().to_numpy()
+            centres = np.frombuffer(t.column("centres")[int(kind.argmax())].as_py()).reshape(-1, t.column("dim")[0].as_py())
+            t = t.filter(pa.array(~kind))
+            if not t.num_rows:
+                continue
+            home, inside = _guests(_matrix(t.column("x")), centres, margin)
+            row, to = np.nonzero(inside)
+            ends = np.append(0, np.cumsum(inside.sum(1)))
+            for a in range(0, len(row), 1024):
+                r, c = row[a : a + 1024], to[a : a + 1024]
+                x = t.take(pa.array(r))
+                add = lambda name, new, kind: pa.array([old + [n] for old, n in zip(x.column(name).to_pylist(), new, strict=True)], pa.list_(kind))
+                within = add("within", [to[ends[i] : ends[i + 1]].tolist() for i in r], pa.list_(pa.int32()))
+                name = pa.array([f"{old}/{n}" for old, n in zip(x.column("cell").to_pylist(), c, strict=True)])
+                cols = {k: x.column(k).combine_chunks() for k in COLUMNS} | {"cell": name, "path": add("path", c.tolist(), pa.int32()), "homes": add("homes", home[r].tolist(), pa.int32()), "within": within}
+                yield pa.RecordBatch.from_arrays([cols[k] for k in COLUMNS], names=list(COLUMNS))
+
+    return run
+
+
+def _split(rows: DataFrame, depth: int, margin: float, sample: int, cell: int, cells: int) -> tuple[DataFrame, DataFrame] | None:
+    """(rows of cells that stay, rows of the cells inside those that don't), or None if all stay.
+
+    Cells of more than 2 `cell` rows get centres of their own, fitted in tasks on at most `sample` rows each, and are
+    split if that lessens the pairs to compare. A cell of any size is dealt in slices, each with a copy of its centres.
+    """
+    sizes = rows.groupBy(*BY).agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 2 * cell)
+    drawn = rows.join(sizes, BY).withColumn("o", F.pmod(F.xxhash64("rep", "k", F.lit(depth)), F.lit(1 << 40)))
+    drawn = drawn.filter(F.col("o") * F.col("m") <= F.lit(float(1 << 40)) * sample).select(*BY, "m", "o", "rep", "k", "x")
+    fitted = drawn.repartition(*BY).sortWithinPartitions(*BY, "o", "rep", "k").mapInArrow(_fit(margin, sample, cell, cells), "label string, dim int, cell string, m long, centres binary")
+    fitted = materialize(fitted, "centres")
+    if fitted.isEmpty():
+        return None
+    pieces = fitted.withColumn("slices", F.ceil(F.col("m") / SLICE).cast("int"))
+    copies = pieces.select(*BY, F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "centres")
+    dealt = rows.join(pieces.select(*BY, "slices"), BY).withColumn("slice", F.pmod(F.xxhash64("rep", "k", F.lit(23)), F.col("slices")).cast("int")).drop("slices")
+    dealt = dealt.unionByName(copies, allowMissingColumns=True)
+    by = [*BY, "slice"]
+    inner = dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(_deal(margin), rows.schema)
+    return rows.join(fitted.select(*BY), BY, "left_anti").select(*COLUMNS), materialize(inner, "cells")
+
+
 def _verify(threshold: float):
     def one(t: pa.Table) -> pa.RecordBatch | None:
-        rep, number, n, blk, home = (t.column(c).to_numpy() for c in ("rep", "k", "n", "blk", "home"))
-        cell, bi, bj = (t.column(k)[0].as_py() for k in ("cell", "bi", "bj"))
+        rep, number, n, blk = (t.column(c).to_numpy() for c in ("rep", "k", "n", "blk"))
+        bi, bj, path = (t.column(k)[0].as_py() for k in ("bi", "bj", "path"))
         order = np.argsort(rep, kind="stable")
-        rep, number, n, blk, home = rep[order], number[order], n[order], blk[order], home[order]
-        x = np.array(t.column("x").combine_chunks().flatten()).reshape(len(rep), -1)[order]
+        rep, number, n, blk = rep[order], number[order], n[order], blk[order]
+        x = _matrix(t.column("x"))[order]
         linked = x @ x.T >= threshold
         for i, j in np.argwhere(np.abs(x @ x.T - threshold) < 1e-12):  # at the very edge by the plain formula
             linked[i, j] = float(np.dot(x[i], x[j])) >= threshold
         linked |= linked.T
         linked &= (blk[:, None] != blk[None, :]) if bi != bj else ~np.eye(len(rep), dtype=bool)
-        at_home = home == cell
-        linked &= at_home[:, None] | at_home[None, :]
-        # a pair of two homes that are guests of each other meets in both: it counts in the smaller cell
-        if not at_home.all():
-            cells = t.column("cells").combine_chunks()
-            for i in np.flatnonzero(~at_home & linked.any(1)):
-                if home[i] < cell:
-                    for j in np.flatnonzero(linked[i]):
-                        if home[i] in cells[int(order[j])].as_py():
-                            linked[i, j] = linked[j, i] = False
+        for level, cell in enumerate(path):
+            home = _matrix(t.column("homes"))[order, level].astype(np.int64)
+            at_home = home == cell
+            linked &= at_home[:, None] | at_home[None, :]
+            # a pair of two homes that are guests of each other meets in both: it counts in the smaller cell
+            for i in np.flatnonzero((home < cell) & linked.any(1)):
+                for j in np.flatnonzero(linked[i]):
+                    if home[i] in t.column("within")[int(order[j])].as_py()[level]:
+                        linked[i, j] = linked[j, i] = False
         if not linked.any():
             return None
         label = pa.array([t.column("label")[0].as_py()] * len(rep), pa.string())
@@ -145,25 +209,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sample: in
     usable = usable.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).withColumn("key", F.sha2(F.concat_ws(",", F.transform("v", lambda x: x.cast("string"))), 256))
     classes = materialize(usable.groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("v").alias("v")).withColumn("k", F.xxhash64("key")), "classes")
 
-    total = classes.count()
-    # a bounded number of rows comes to the driver, as Arrow buffers
-    fit = classes.orderBy(F.xxhash64("rep", "key", F.lit(11)), "rep", "key").limit(sample).select("v").toArrow()
-    flat, at = _rows(fit.column("v").combine_chunks()) if fit.num_rows else (np.zeros(0), np.zeros(1, np.int64))
-    size = np.diff(at)
-    dim = int(np.bincount(size).argmax()) if len(size) else 1  # the length most have
-    x = flat[at[:-1][size == dim][:, None] + np.arange(dim)].reshape(-1, dim)
-    scale = np.abs(x).max(1, keepdims=True, initial=1e-300)
-    x = x / scale
-    x = x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else np.eye(1, dim)
-    centres = spherical_kmeans(x, max(1, min(cells, math.ceil(total / cell))))
-
     margin = math.sqrt(max(0.0, 2 - 2 * threshold)) / 2
     # divided by its largest entry first, so no square overflows or vanishes
     unit = F.transform("v", lambda x: x / F.array_max(F.transform("v", lambda y: F.abs(y))))
-    dealt = classes.select("rep", "label", "n", "k", unit.alias("v")).mapInArrow(_cells(centres, margin), "rep long, label string, n long, k long, dim int, cell int, home int, cells array<int>, x array<double>")
-    by = ["label", "dim", "cell"]
-    tasks = block_tasks(materialize(dealt, "cells"), by, "rep", block)
-    by += ["bi", "bj"]
+    rows_of = classes.select("rep", "label", "n", "k", F.size("v").alias("dim"), unit.alias("v")).mapInArrow(_unit, "rep long, label string, n long, k long, dim int, x array<double>")
+    start = {"cell": F.lit(""), "path": F.array().cast("array<int>"), "homes": F.array().cast("array<int>"), "within": F.array().cast("array<array<int>>")}
+    at = materialize(rows_of.withColumns(start).select(*COLUMNS), "cells")
+    dealt = []
+    for depth in range(DEPTH):
+        if (parts := _split(at, depth, margin, sample, cell, cells)) is None:
+            break
+        dealt.append(parts[0])
+        at = parts[1]
+    for stay in dealt:
+        at = at.unionByName(stay)
+    tasks = block_tasks(at, BY, "rep", block)
+    by = [*BY, "bi", "bj"]
     links = materialize(tasks.repartition(*by).sortWithinPartitions(*by, "rep").mapInArrow(_verify(threshold), "rep long, label string, k long, links long, root long"), "links")
 
     # an id may stand for several vectors: links belong to a class, known by id, label and a number of its vector

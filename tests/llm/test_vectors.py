@@ -58,6 +58,25 @@ def test_matches_brute_force(spark, options):
     assert got == want
 
 
+def test_cells_inside_cells(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    tops = r.normal(size=(4, 24)) * 3
+    rows = []
+    for i in range(1500):
+        base = tops[i % 4] + np.random.default_rng(i % 150).normal(size=24)
+        rows.append((i, (base + r.normal(size=24) * 0.1).tolist(), int(i % 10 == 0), "x", 1, 2, 3))
+    levels = []
+    split = vectors._split
+    monkeypatch.setattr(vectors, "_split", lambda *a: levels.append(split(*a)) or levels[-1])
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = sorted(((False, x.vec_id), x.n_links, x.component_id, x.kept) for x in vectors.near_duplicates(df, cell=30, cells=4, block=16).collect())
+    deepest = max(len(x.path) for x in levels[-2][1].select("path").collect())
+    assert len(levels) >= 3 and deepest >= 2
+    want = brute(rows)
+    assert sum(w[1] for w in want) > 1000
+    assert got == want
+
+
 def test_ids_of_several_vectors_and_text_labels(spark):
     rows = [(1, [1.0, 0.0], "a"), (1, [0.0, 1.0], "a"), (2, [1.0, 0.001], "a"), (3, [1.0, 0.0], "b"), (4, [1.0, 0.0], "b"), (5, [1.0, 0.0], None)]
     got = sorted((r.vec_id, r.n_links, r.component_id) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect())
