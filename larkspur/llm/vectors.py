@@ -30,8 +30,9 @@ from .graph import components
 THRESHOLD, BLOCK = 0.98, 512
 #: Rows that one cell's centres are fitted on, rows that a cell should hold, most centres of one cell, most levels of cells.
 SAMPLE, CELL, CELLS, DEPTH = 20_000, 2_000, 512, 6
-#: Rows of a cell that are dealt by one group of a task; a cell is split if at most this share of its pairs is left.
-SLICE, WORTH = 4_096, 0.5
+#: Rows of a cell that are dealt by one group of a task; a cell is split if at most this share of its pairs is left, and
+#: into so many cells that this many rows are left in one on average.
+SLICE, WORTH, FEW = 4_096, 0.5, 16
 #: What names a cell, and the columns of rows in cells: a cell's name and path, the row's home and cells on each level.
 BY, COLUMNS = ["label", "dim", "cell"], ["rep", "label", "n", "k", "dim", "cell", "path", "homes", "within", "x"]
 _SLACK = 1e-9
@@ -95,9 +96,19 @@ def _fit(margin: float, sample: int, cell: int, cells: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, BY):
             x, m = _matrix(t.column("x").slice(0, sample)), t.column("m")[0].as_py()
-            centres = spherical_kmeans(x, min(cells, math.ceil(m / cell)))
-            part = _guests(x, centres, margin)[1].mean(0)
-            if (part**2).sum() <= WORTH:  # pairs to compare, against one cell
+            k, most, best = math.ceil(m / cell), max(2, min(cells, m // FEW)), None
+            while True:
+                k = min(k, most)
+                centres = spherical_kmeans(x, k)
+                left = (_guests(x, centres, margin)[1].mean(0) ** 2).sum()  # pairs to compare, against one cell
+                cost = left * m / 2 + k  # cosines a row: with its partners and with the centres
+                if best is None or cost < best[0]:
+                    best = cost, left, centres
+                if k == most:
+                    break
+                k *= 4
+            if best[1] <= WORTH:
+                centres = best[2]
                 yield pa.RecordBatch.from_arrays([*(t.column(c).slice(0, 1).combine_chunks() for c in (*BY, "m")), pa.array([centres.tobytes()], pa.binary())], names=[*BY, "m", "centres"])
 
     return run
@@ -131,8 +142,8 @@ def _deal(margin: float):
 def _split(rows: DataFrame, depth: int, margin: float, sample: int, cell: int, cells: int) -> tuple[DataFrame, DataFrame] | None:
     """(rows of cells that stay, rows of the cells inside those that don't), or None if all stay.
 
-    Cells of more than 2 `cell` rows get centres of their own, fitted in tasks on at most `sample` rows each, and are
-    split if that lessens the pairs to compare. A cell of any size is dealt in slices, each with a copy of its centres.
+    Cells of more than 2 `cell` rows get centres of their own, fitted in tasks on at most `sample` rows each; their number
+    is the one of m / cell, 4 m / cell, 16 m / cell ... with the fewest cosines on the sample. A cell is split if that lessens the pairs. A cell of any size is dealt in slices, each with a copy of its centres.
     """
     sizes = rows.groupBy(*BY).agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 2 * cell)
     drawn = rows.join(sizes, BY).withColumn("o", F.pmod(F.xxhash64("rep", "k", F.lit(depth)), F.lit(1 << 40)))
