@@ -148,7 +148,10 @@ def _split(rows: DataFrame, depth: int, margin: float, sample: int, cell: int, c
     sizes = rows.groupBy(*BY).agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 2 * cell)
     drawn = rows.join(sizes, BY).withColumn("o", F.pmod(F.xxhash64("rep", "k", F.lit(depth)), F.lit(1 << 40)))
     drawn = drawn.filter(F.col("o") * F.col("m") <= F.lit(float(1 << 40)) * sample).select(*BY, "m", "o", "rep", "k", "x")
-    fitted = drawn.repartition(*BY).sortWithinPartitions(*BY, "o", "rep", "k").mapInArrow(_fit(margin, sample, cell, cells), "label string, dim int, cell string, m long, centres binary")
+    # by another key than the join's: an exchange by the same one is left out, and adaptive execution may then change the
+    # join below and its partitions, so that a cell would be in several tasks
+    drawn = drawn.withColumn("name", F.concat_ws("|", *BY))
+    fitted = drawn.repartition("name").sortWithinPartitions(*BY, "o", "rep", "k").drop("name").mapInArrow(_fit(margin, sample, cell, cells), "label string, dim int, cell string, m long, centres binary")
     fitted = materialize(fitted, "centres")
     if fitted.isEmpty():
         return None

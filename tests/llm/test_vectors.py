@@ -58,7 +58,9 @@ def test_matches_brute_force(spark, options):
     assert got == want
 
 
-def test_cells_inside_cells(spark, monkeypatch):
+@pytest.mark.parametrize("adaptive", ["10MB", "-1"])
+def test_cells_inside_cells(spark, monkeypatch, adaptive):
+    """Joins planned by sort and merge, and changed to broadcasts while they run or not, as on large tables."""
     r = np.random.default_rng(5)
     tops = r.normal(size=(4, 24)) * 3
     rows = []
@@ -69,7 +71,14 @@ def test_cells_inside_cells(spark, monkeypatch):
     split = vectors._split
     monkeypatch.setattr(vectors, "_split", lambda *a: levels.append(split(*a)) or levels[-1])
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    got = sorted(((False, x.vec_id), x.n_links, x.component_id, x.kept) for x in vectors.near_duplicates(df, cell=30, cells=4, block=16).collect())
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": adaptive, "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        got = sorted(((False, x.vec_id), x.n_links, x.component_id, x.kept) for x in vectors.near_duplicates(df, cell=30, cells=4, block=16).collect())
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
     deepest = max(len(x.path) for x in levels[-2][1].select("path").collect())
     assert len(levels) >= 3 and deepest >= 2
     want = brute(rows)
