@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import block_tasks, groups, materialize, roots
+from ._common import block_tasks, drop, groups, materialize, roots
 from .graph import components
 
 THRESHOLD, BLOCK = 0.98, 512
@@ -139,11 +139,12 @@ def _deal(margin: float):
     return run
 
 
-def _split(rows: DataFrame, depth: int, margin: float, sample: int, cell: int, cells: int) -> tuple[DataFrame, DataFrame] | None:
-    """(rows of cells that stay, rows of the cells inside those that don't), or None if all stay.
+def _split(rows: DataFrame, depth: int, margin: float, sample: int, cell: int, cells: int) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """(rows of cells that stay, rows of the cells inside those that don't, the centres), or None if all stay.
 
     Cells of more than 2 `cell` rows get centres of their own, fitted in tasks on at most `sample` rows each; their number
-    is the one of m / cell, 4 m / cell, 16 m / cell ... with the fewest cosines on the sample. A cell is split if that lessens the pairs. A cell of any size is dealt in slices, each with a copy of its centres.
+    is the one of m / cell, 4 m / cell, 16 m / cell ... with the fewest cosines on the sample. A cell is split if that
+    halves the pairs at least. A cell of any size is dealt in slices, each with a copy of its centres.
     """
     sizes = rows.groupBy(*BY).agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 2 * cell)
     drawn = rows.join(sizes, BY).withColumn("o", F.pmod(F.xxhash64("rep", "k", F.lit(depth)), F.lit(1 << 40)))
@@ -161,7 +162,7 @@ def _split(rows: DataFrame, depth: int, margin: float, sample: int, cell: int, c
     dealt = dealt.unionByName(copies, allowMissingColumns=True)
     by = [*BY, "slice"]
     inner = dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(_deal(margin), rows.schema)
-    return rows.join(fitted.select(*BY), BY, "left_anti").select(*COLUMNS), materialize(inner, "cells")
+    return rows.join(fitted.select(*BY), BY, "left_anti").select(*COLUMNS), materialize(inner, "cells"), fitted
 
 
 def _verify(threshold: float):
@@ -229,17 +230,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sample: in
     rows_of = classes.select("rep", "label", "n", "k", F.size("v").alias("dim"), unit.alias("v")).mapInArrow(_unit, "rep long, label string, n long, k long, dim int, x array<double>")
     start = {"cell": F.lit(""), "path": F.array().cast("array<int>"), "homes": F.array().cast("array<int>"), "within": F.array().cast("array<array<int>>")}
     at = materialize(rows_of.withColumns(start).select(*COLUMNS), "cells")
-    dealt = []
+    dealt, written = [], [at]
     for depth in range(DEPTH):
         if (parts := _split(at, depth, margin, sample, cell, cells)) is None:
             break
         dealt.append(parts[0])
         at = parts[1]
+        written += parts[1:]
     for stay in dealt:
         at = at.unionByName(stay)
     tasks = block_tasks(at, BY, "rep", block)
     by = [*BY, "bi", "bj"]
     links = materialize(tasks.repartition(*by).sortWithinPartitions(*by, "rep").mapInArrow(_verify(threshold), "rep long, label string, k long, links long, root long"), "links")
+    drop(*written)
 
     # an id may stand for several vectors: links belong to a class, known by id, label and a number of its vector
     counted = links.groupBy("rep", "label", "k").agg(F.sum("links").alias("links"))
