@@ -255,3 +255,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sample: in
     out = own.union(rest).join(reached.withColumnRenamed("id", "vec_id"), "vec_id", "left")
     out = out.select("vec_id", "n_links", F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+#: All pairs of a label; closures of links are as large as groups are, so it is for small tables.
+ORACLE_SQL = f"""
+with recursive v as (select row_number() over () as r, vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings),
+fine as (select *, list_max(list_transform(e, lambda x: abs(x))) as top from v where vec_id is not null and label is not null and len(e) > 0
+  and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+scaled as (select r, vec_id, label, list_transform(e, lambda x: x / top) as e from fine),
+unit as (select r, vec_id, label, len(e) as dim, list_transform(e, lambda x: x / n) as e from (select *, sqrt(list_dot_product(e, e)) as n from scaled)),
+link as (select a.r, a.vec_id as a, b.vec_id as b from unit a join unit b on a.label = b.label and a.dim = b.dim and a.r <> b.r where list_dot_product(a.e, b.e) >= {THRESHOLD}),
+reach(id, node) as (select vec_id, vec_id from v where vec_id is not null union select id, b from reach join link on node = a),
+component as (select id, min(node) as c from reach group by id),
+links as (select r, count(*) as n from link group by r)
+select v.vec_id, cast(coalesce(links.n, 0) as bigint) as n_links, component.c as component_id, coalesce(v.vec_id = component.c, true) as kept
+from v left join links on v.r = links.r left join component on v.vec_id = component.id
+"""

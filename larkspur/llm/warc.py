@@ -200,3 +200,13 @@ def archived(pages: DataFrame, least: int = 0, **columns: str) -> DataFrame:
     spark = pages.sparkSession
     folder = new_path(spark, "warc")
     return read_archives(spark, folder, write_archives(pages, folder, least, **columns))
+
+
+#: Five hexadecimal digits of a SHA-1 are four characters of base32.
+_BASE32_SQL = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((cast('0x' || substr(sha, {i}, 5) as bigint) >> {k}) & 31), 1)" for i in range(1, 41, 5) for k in (15, 10, 5, 0))
+ORACLE_SQL = f"""
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as sha from pages),
+f as (select *, min(page_id) over (partition by html) as first_id from p)
+select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes, {_BASE32_SQL} as payload_digest,
+  case when page_id = first_id then 'response' else 'revisit' end as record_type, case when page_id <> first_id then first_id end as refers_to from f
+"""
