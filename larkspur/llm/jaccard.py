@@ -219,3 +219,25 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     rows = rows.join(gone, F.col(who).cast("long").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")), "left_anti")
     rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(who, "_h").orderBy(F.lit(1))))
     return rows.filter("_n = 1").select(*(F.col(k).alias(c) for k, c in zip(own, names, strict=True)))
+
+
+#: All pairs at the threshold, without hashes: candidates share one of the rarest shingles of their sets (prefix filter).
+ORACLE_SQL = rf"""
+with recursive d as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+t as (select r, doc_id, w, array_to_string(w, ' ') as t from d),
+class as (select t, min(doc_id) as rep, count(*) as n, any_value(w) as w from t where len(w) > 0 group by t),
+word as (select rep, len(w) as m, unnest(w) as x, generate_subscripts(w, 1) as i from class where len(w) >= {WORDS}),
+gram as (select rep, m, i, concat_ws(' ', x, {", ".join(f"lead(x, {k}) over o" for k in range(1, WORDS))}) as g from word window o as (partition by rep order by i)),
+shingle as (select distinct rep, g from gram where i <= m - {WORDS - 1} union all select rep, t from class where len(w) < {WORDS}),
+ranked as (select rep, g, count(*) over (partition by rep) as s, f from shingle join (select g, count(*) as f from shingle group by g) using (g)),
+prefix as (select rep, g, s from (select *, row_number() over (partition by rep order by f, g) as p from ranked) where p <= s - ceil({THRESHOLD} * s - 1e-9) + 1),
+pair as (select distinct a.rep as a, b.rep as b, a.s as sa, b.s as sb from prefix a join prefix b on a.g = b.g and a.rep < b.rep where least(a.s, b.s) >= {THRESHOLD} * greatest(a.s, b.s) - 1e-9),
+shared as (select a, b, sa, sb, count(*) as k from pair join shingle x on x.rep = a join shingle y on y.rep = b and y.g = x.g group by all),
+half as (select a, b from shared where k >= {THRESHOLD} * (sa + sb - k) - 1e-9),
+link as (select a, b from half union all select b, a from half),
+reach(id, node) as (select rep, rep from class union select id, b from reach join link on node = a),
+found as (select id, min(node) as group_id from reach group by id),
+links as (select a, sum(n) as n from link join class on b = rep group by a)
+select t.doc_id, coalesce(rep, t.doc_id) as class_id, cast(coalesce(class.n - 1, 0) + coalesce(links.n, 0) as bigint) as n_links, coalesce(group_id, t.doc_id) as group_id
+from t left join class on t.t = class.t and len(t.w) > 0 left join links on a = rep left join found on id = rep
+"""

@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_near_dedup": vectors.ORACLE_SQL, "op4_quality_rules": quality.ORACLE_SQL, "op6_source_mixing": mixing.ORACLE_SQL, "op9_warc_revisits": warc.ORACLE_SQL}
+    return {"op1_ngram_jaccard_join": jaccard.ORACLE_SQL, "op3_embedding_near_dedup": vectors.ORACLE_SQL, "op4_quality_rules": quality.ORACLE_SQL, "op6_source_mixing": mixing.ORACLE_SQL, "op9_warc_revisits": warc.ORACLE_SQL}
